@@ -126,8 +126,10 @@ def classify_products(
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = classifier(batch[text]).set_axis(batch.index)
-            yield pd.concat([batch[kept], answers.reindex(columns=list(LABEL_FIELDS))], axis=1)
+            answers = classifier(batch[text]).set_axis(batch.index).reindex(columns=list(LABEL_FIELDS))
+            prices = pd.to_numeric(answers["price_usd"])
+            # Plain objects: Spark's Arrow writer does not take every string type pandas may choose.
+            yield pd.concat([batch[kept], answers.astype(object).assign(price_usd=prices)], axis=1)
 
     raw = narrow.mapInPandas(label, schema)
     return raw.select(*kept, *[_typed(name, F.col(name)) for name in LABEL_FIELDS])

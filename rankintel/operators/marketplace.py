@@ -87,44 +87,54 @@ def structured_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column
 
 
 def attribute_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column:
-    """Listings read from listing-id attributes and the markup around their first occurrence."""
+    """Listings read from listing-id attributes and the markup around their first occurrence.
+
+    One transform per step, so that each step reads the one before instead of computing it again.
+    """
+    site = f"https://www.{domain}"
     ids = F.array_distinct(F.regexp_extract_all(html, F.lit(LISTING_ATTRIBUTE), F.lit(1)))
 
-    def around(listing: Column) -> Column:
-        quoted = [F.call_function("locate", F.concat(F.lit(f"data-listing-id={q}"), listing, F.lit(q)), html) for q in "\"'"]
-        hit = F.when(quoted[0] > 0, quoted[0]).otherwise(quoted[1]) - 1
-        start = F.greatest(hit - CHARS_BEFORE, F.lit(0))
-        return F.when(hit >= 0, F.substr(html, start + 1, hit + CHARS_AFTER - start)).otherwise(F.lit(""))
-
-    def reading(near: Column, position: Column) -> Column:
-        listing, text = near["listing"], near["text"]
-        link = F.call_function(
-            "regexp_extract",
-            text,
-            F.concat(F.lit(r"""href=["']([^"']*listing/"""), listing, F.lit(r"""[^"']*)["']""")),
-            F.lit(1),
-        )
-        site = f"https://www.{domain}"
+    def place(listing: Column, quote: str) -> Column:
+        at = F.call_function("locate", F.concat(F.lit(f"data-listing-id={quote}"), listing, F.lit(quote)), html)
+        return F.nullif(at, F.lit(0))
+
+    def surroundings(x: Column) -> Column:
+        start = F.greatest(x["hit"] - CHARS_BEFORE, F.lit(1))
+        return F.coalesce(F.substr(html, start, x["hit"] + CHARS_AFTER - start), F.lit(""))
+
+    def link(x: Column) -> Column:
+        pattern = F.concat(F.lit(r"""href=["']([^"']*listing/"""), x["listing"], F.lit(r"""[^"']*)["']"""))
+        return F.call_function("regexp_extract", x["text"], pattern, F.lit(1))
+
+    def reading(x: Column, position: Column) -> Column:
+        text, lowered = x["text"], F.lower(x["text"])
         url = (
-            F.when(link == "", F.concat(F.lit(f"{site}/listing/"), listing, F.lit("/")))
-            .when(F.startswith(link, F.lit("/")), F.concat(F.lit(site), link))
-            .otherwise(link)
+            F.when(x["link"] == "", F.concat(F.lit(f"{site}/listing/"), x["listing"], F.lit("/")))
+            .when(F.startswith(x["link"], F.lit("/")), F.concat(F.lit(site), x["link"]))
+            .otherwise(x["link"])
         )
-        lowered = F.lower(text)
         star = F.contains(lowered, F.lit("star-seller")) | F.contains(lowered, F.lit("star_seller"))
         title = strip(F.regexp_extract(text, LISTING_HEADING, 1))
-        return _listing(position + 1, listing, url, title, to_number(first_match(text, DOLLAR_PRICE)), star)
+        return _listing(position + 1, x["listing"], url, title, to_number(first_match(text, DOLLAR_PRICE)), star)
 
-    near = F.transform(ids, lambda listing: F.struct(listing.alias("listing"), around(listing).alias("text")))
-    return F.transform(near, reading)
+    hits = F.transform(ids, lambda i: F.struct(i.alias("listing"), F.coalesce(place(i, '"'), place(i, "'")).alias("hit")))
+    near = F.transform(hits, lambda x: F.struct(x["listing"].alias("listing"), surroundings(x).alias("text")))
+    linked = F.transform(near, lambda x: F.struct(x["listing"].alias("listing"), x["text"].alias("text"), link(x).alias("link")))
+    return F.transform(linked, reading)
 
 
-def _first_per_listing(results: Column) -> Column:
-    """First result per listing id (or url without one), keeping page order."""
-    keys = F.transform(results, lambda r: F.coalesce(r["listing_id"], r["url"]))
-    numbered = F.transform(results, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-    fresh = F.filter(numbered, lambda x: F.array_position(keys, F.coalesce(x["r"]["listing_id"], x["r"]["url"])) == x["i"] + 1)
-    return F.transform(fresh, lambda x: x["r"])
+def _first_per_listing(df: DataFrame, results: str) -> DataFrame:
+    """Reduce an array column to the first result per listing id (or url without one), keeping page order.
+
+    The keys are a column of their own: inside the filter they must be looked up, not computed again.
+    """
+
+    def key(result: Column) -> Column:
+        return F.coalesce(result["listing_id"], result["url"])
+
+    keyed = df.withColumn("_keys", F.transform(results, key))
+    first = F.filter(results, lambda r, i: F.array_position("_keys", key(r)) == i + 1)
+    return keyed.withColumn(results, first).drop("_keys")
 
 
 def fix_zero_positions(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -141,12 +151,15 @@ def marketplace_results(
     """
     kept = [c for c in pages.columns if c not in (query, html)]
     named = pages.where(F.length(html) > 0).select(
-        F.col(query).alias("query"), *kept, F.col(html).alias("_html"), _first_per_listing(structured_results(F.col(html), domain)).alias("_named")
+        F.col(query).alias("query"),
+        *kept,
+        F.col(html).alias("_html"),
+        structured_results(F.col(html), domain).cast(RESULT_TYPE).alias("_named"),
     )
-    chosen = named.select(
+    chosen = _first_per_listing(named, "_named").select(
         "query",
         *kept,
-        F.when(F.size("_named") > 0, F.col("_named").cast(RESULT_TYPE))
+        F.when(F.size("_named") > 0, F.col("_named"))
         .otherwise(attribute_results(F.col("_html"), domain).cast(RESULT_TYPE))
         .alias("_results"),
     )

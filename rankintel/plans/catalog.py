@@ -37,6 +37,10 @@ def query(build: Query) -> Query:
     return build
 
 
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: F.col(name).cast("string") for name, kind in df.dtypes if kind == "date"})
+
+
 def _early(df: DataFrame, column: str, cut: str) -> tuple[DataFrame, DataFrame]:
     """A table as two consecutive batches."""
     stamp = F.lit(cut).cast("timestamp_ntz")
@@ -228,7 +232,7 @@ def build_snapshots(b: Bound) -> DataFrame:
 
 @query
 def build_snapshots_per_run(b: Bound) -> DataFrame:
-    return snapshots.build_snapshots(b.web.withColumn("run_date", F.to_date("scraped_at")), _query_map(b), ["run_date"])
+    return _dates_as_text(snapshots.build_snapshots(b.web.withColumn("run_date", F.to_date("scraped_at")), _query_map(b), ["run_date"]))
 
 
 @query
@@ -290,7 +294,7 @@ def snapshot_change_flags(b: Bound) -> DataFrame:
 
 @query
 def recent_runs(b: Bound) -> DataFrame:
-    return runs.recent_runs(b.snaps)
+    return _dates_as_text(runs.recent_runs(b.snaps))
 
 
 def _tops(b: Bound) -> tuple[DataFrame, DataFrame]:
@@ -300,7 +304,7 @@ def _tops(b: Bound) -> tuple[DataFrame, DataFrame]:
 
 @query
 def top_n_domains(b: Bound) -> DataFrame:
-    return runs.top_n_domains(b.snaps, b.snap_res, query="query_grp")
+    return _dates_as_text(runs.top_n_domains(b.snaps, b.snap_res, query="query_grp"))
 
 
 @query
@@ -315,7 +319,7 @@ def dropouts(b: Bound) -> DataFrame:
 
 @query
 def our_positions(b: Bound) -> DataFrame:
-    return runs.our_positions(b.snaps, query="query_grp")
+    return _dates_as_text(runs.our_positions(b.snaps, query="query_grp"))
 
 
 @query
@@ -342,7 +346,7 @@ def price_moves_latest(b: Bound) -> DataFrame:
 
 @query
 def run_diffs(b: Bound) -> DataFrame:
-    return runs.run_diffs(b.snaps, b.snap_res, query="query_grp")
+    return _dates_as_text(runs.run_diffs(b.snaps, b.snap_res, query="query_grp"))
 
 
 @query

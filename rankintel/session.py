@@ -18,3 +18,4 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
     return builder
+
