@@ -6,12 +6,13 @@ filtered away to make them.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankintel.operators.upsert import last_per_key
+from rankintel.sources.pages import spread
 
 # Which label a part type stands for; the remaining type reads as a blank label.
 METAL_OF_TYPE = {
@@ -55,9 +56,20 @@ class Bound:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return spread(self.table("documents"))
+
+    @cached_property
+    def html_pages(self) -> DataFrame:
+        return spread(self.table("pages"))
 
     @cached_property
     def result_rows(self) -> DataFrame:
@@ -138,13 +150,13 @@ class Bound:
     @cached_property
     def snap_res(self) -> DataFrame:
         """Result rows of each order's snapshot; a domain is ours if its supplier sits in our region."""
-        owners = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         rows = self.table("lineitem").select(
             F.col("l_orderkey").alias("snapshot_id"), F.col("l_linenumber").alias("position"),
             F.col("l_partkey").alias("url"), "l_suppkey", "l_extendedprice",
         )
         newest = last_per_key(rows, ["snapshot_id", "position"], ["url", "l_suppkey", "l_extendedprice"])
-        return newest.join(owners, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        owned = newest.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        return owned.join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
             "snapshot_id", "position", "url", F.col("s_name").alias("domain"), (F.col("n_regionkey") == OUR_REGION).alias("is_ours")
         )
 
@@ -198,7 +210,7 @@ class Bound:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self.table("documents").withColumn("lines", F.split("text", "\n"))
+        return self.docs.withColumn("lines", F.split("text", "\n"))
 
     @cached_property
     def search_pages(self) -> DataFrame:
@@ -259,7 +271,7 @@ class Bound:
         plain = F.concat(
             F.lit("<title> "), F.col("source"), F.lit(" | shop</title>"), inline, F.lit("<p>$"), F.col("n_chars").cast("string"), F.lit(".75</p>")
         )
-        return self.table("documents").select(
+        return self.docs.select(
             F.concat(F.lit("https://www.etsy.com/listing/"), F.col("doc_id").cast("string"), F.lit("/item")).alias("url"),
             F.when(F.col("lang") == "fr", plain).otherwise(F.concat(script_json(product), inline)).alias("html"),
         )
@@ -271,6 +283,12 @@ class Bound:
             F.col("source").alias("title"), F.col("text").alias("description"), F.lit("high").alias("confidence"),
         )
         fenced = F.concat(F.lit("```json\n"), F.to_json(answer), F.lit("\n```"))
-        return self.table("documents").select(
+        return self.docs.select(
             "doc_id", F.when(F.col("lang") == "de", F.concat(F.lit("no json: "), F.col("text"))).otherwise(fenced).alias("raw_response")
         )
+
+
+@lru_cache(maxsize=4)
+def bound(spark: SparkSession, root: str) -> Bound:
+    """The bindings of a directory, kept so that queries share file listings and schemas (never data)."""
+    return Bound(spark, root)

@@ -18,7 +18,7 @@ from rankintel.operators.marketplace import fix_zero_positions, marketplace_resu
 from rankintel.operators.page_text import html_to_text, jsonld_leaves, page_guard
 from rankintel.operators.ranked_links import ranked_links
 from rankintel.plans.batch import Corpora, RunOptions, latest_digest, run_batch
-from rankintel.plans.bindings import LINK_SITE, Bound
+from rankintel.plans.bindings import LINK_SITE, Bound, bound
 from rankintel.sources.keywords import distinct_queries
 from rankintel.sources.pages import stored_pages
 
@@ -99,7 +99,7 @@ def touch_last_scraped(b: Bound) -> DataFrame:
 
 @query
 def read_pages(b: Bound) -> DataFrame:
-    pages = stored_pages(b.table("pages"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    pages = stored_pages(b.html_pages, F.lit("2024-01-01").cast("timestamp_ntz"))
     return pages.select("url", "page_title", F.md5("raw_html").alias("html_md5"), "scraped_at")
 
 
@@ -121,7 +121,7 @@ def fix_zero_positions_(b: Bound) -> DataFrame:
 
 @query
 def html_to_text_(b: Bound) -> DataFrame:
-    return html_to_text(b.table("pages")).select("page_id", "page_text")
+    return html_to_text(b.html_pages).select("page_id", "page_text")
 
 
 @query
@@ -157,18 +157,18 @@ def parse_model_json(b: Bound) -> DataFrame:
 
 @query
 def page_guard_(b: Bound) -> DataFrame:
-    return page_guard(b.table("pages"), min_chars=2000, html="html").select("page_id", "fallback_reason")
+    return page_guard(b.html_pages, min_chars=2000, html="html").select("page_id", "fallback_reason")
 
 
 @query
 def rule_labels(b: Bound) -> DataFrame:
-    return classify.rule_labels(b.table("documents"), "text", TEXT_RULES).select("doc_id", "label")
+    return classify.rule_labels(b.docs, "text", TEXT_RULES).select("doc_id", "label")
 
 
 @query
 def classify_products(b: Bound) -> DataFrame:
     """The default rules, with the rules of the shop's own vocabulary in front of a plain text."""
-    docs = b.table("documents").select("doc_id", squeeze(F.col("text")).alias("page_text"))
+    docs = b.docs.select("doc_id", squeeze(F.col("text")).alias("page_text"))
     return classify.classify_products(docs, metal_rules=TEXT_RULES).select("doc_id", "metal_type", "karat", "base_metal", "confidence")
 
 
@@ -179,7 +179,7 @@ def _by_length(texts: pd.Series) -> pd.DataFrame:
 
 @query
 def classify_products_custom(b: Bound) -> DataFrame:
-    docs = b.table("documents").select("doc_id", "text")
+    docs = b.docs.select("doc_id", "text")
     return classify.classify_products(docs, "text", _by_length).select("doc_id", "metal_type", "karat", "price_usd", "confidence")
 
 
@@ -564,6 +564,6 @@ def run_batch_(b: Bound) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build: Query) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, root: build(Bound(spark, root))
+        return lambda spark, root: build(bound(spark, root))
 
     return {name.rstrip("_"): bind(build) for name, build in QUERIES.items()}

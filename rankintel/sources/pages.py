@@ -19,9 +19,18 @@ def fetched(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.where(F.length(html) > 0)
 
 
+def spread(corpus: DataFrame) -> DataFrame:
+    """Deal a file scan with fewer splits than cores out evenly, because parsing costs far more than moving it.
+
+    A corpus of many splits is returned as it is: its html is never shuffled.
+    """
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(cores) if corpus.rdd.getNumPartitions() < cores else corpus
+
+
 def read_pages(spark: SparkSession, path: str, schema: schemas.Schema = schemas.PAGE_FETCHES, fmt: str = "parquet") -> DataFrame:
     """Scan a page corpus (parquet by default) by its declared schema; failed fetches are left out."""
-    return fetched(spark.read.schema(schemas.ddl(schema)).format(fmt).load(path))
+    return fetched(spread(spark.read.schema(schemas.ddl(schema)).format(fmt).load(path)))
 
 
 def stored_pages(pages: DataFrame, scraped_at: Column, existing: DataFrame | None = None) -> DataFrame:
