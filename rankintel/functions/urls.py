@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AUTHORITY = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+# Scheme (optional), two slashes, then the authority; brackets count only as a pair.
+AUTHORITY = (
+    r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\[\]]*(?:\[[^/?#]*\][^/?#\[\]]*)?)(?=[/?#]|$)"
+)
+DROPPED = r"www\.|[\t\r\n]"
 LISTING_ID = r"/listing/(\d+)/"
 
 
 def domain_of(url: Column) -> Column:
     """Lower-cased authority without any `www.`; ports stay, a url without authority gives ''."""
-    host = F.regexp_extract(F.translate(url, "\t\r\n", ""), AUTHORITY, 1)
-    broken = F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
-    return F.when(url.isNull() | broken, F.lit("")).otherwise(F.replace(F.lower(host), F.lit("www."), F.lit("")))
+    host = F.lower(F.regexp_extract(url, AUTHORITY, 1))
+    return F.coalesce(F.regexp_replace(host, DROPPED, ""), F.lit(""))
 
 
 def listing_id_of(url: Column) -> Column:

@@ -21,8 +21,8 @@ def build_snapshots(results: DataFrame, query_map: DataFrame, run: Sequence[str]
 
     Our position is the smallest one whose domain is our url's domain. (A result equal to our url up to a
     trailing slash has that same domain, so the url itself needs no second test.) Results are reduced to one
-    row per query and domain before they meet our url, so both sides of every join are unique on its key and
-    a query with very many results is never gathered in one task.
+    row per query and domain before they meet our url, so the joins are on unique keys and a query with very
+    many results is never gathered in one task. Results are read once.
     """
     key = ["query", *run]
     per_domain = (
@@ -30,18 +30,19 @@ def build_snapshots(results: DataFrame, query_map: DataFrame, run: Sequence[str]
         .groupBy(*key, "domain")
         .agg(F.min("position").alias("_best"), F.count(F.lit(1)).alias("_rows"))
     )
-    ours = query_map.select(
-        "query", "our_handle", "our_url", F.when(F.col("our_url") != "", domain_of(F.col("our_url"))).alias("domain")
+    ours = query_map.select("query", "our_handle", "our_url")
+    ours_at = ours.where(F.col("our_url") != "").select(
+        "query", domain_of(F.col("our_url")).alias("domain"), F.lit(True).alias("_ours")
     )
-    position = per_domain.join(ours.select("query", "domain"), ["query", "domain"]).select(
-        *key, F.col("_best").alias("our_position")
-    )
-    totals = per_domain.groupBy(*key).agg(F.sum("_rows").alias("total_results"))
-    return (
-        totals.join(position, key, "left")
-        .join(ours.drop("domain"), "query", "left")
-        .select(*key, "our_handle", "our_url", "our_position", F.col("total_results").cast("int").alias("total_results"))
+    heads = (
+        per_domain.join(ours_at, ["query", "domain"], "left")
+        .groupBy(*key)
+        .agg(
+            F.min(F.when(F.col("_ours"), F.col("_best"))).alias("our_position"),
+            F.sum("_rows").cast("int").alias("total_results"),
+        )
     )
+    return heads.join(ours, "query", "left").select(*key, "our_handle", "our_url", "our_position", "total_results")
 
 
 def build_snapshot_results(results: DataFrame, our_domains: Sequence[str], key: Column | None = None) -> DataFrame:

@@ -28,10 +28,10 @@ from rankintel.operators.selection import select_unclassified, select_uncrawled,
 from rankintel.operators.snapshots import build_snapshot_results, build_snapshots, snapshot_key
 from rankintel.operators.stats import pipeline_summary
 from rankintel.operators.upsert import last_per_key, touch_last_scraped, upsert_replace, upsert_replace_multi
-from rankintel.schemas import HISTORY_TABLES, KEYED_TABLES
+from rankintel.schemas import APPENDED_TABLES, KEYED_TABLES
 from rankintel.sources.keywords import distinct_queries
 from rankintel.sources.pages import fetched, stored_pages
-from rankintel.sources.tables import append_history, moment, read_table, write_keyed, write_staged
+from rankintel.sources.tables import append_history, folder_of, moment, read_table, write_keyed, write_staged
 
 
 @dataclass
@@ -63,6 +63,15 @@ class RunOptions:
     shop_domain: str = MARKETPLACE_DOMAIN
 
 
+@dataclass
+class RunResult:
+    """All tables after a run, the folder each keyed table now lives in, and the one-row summary."""
+
+    tables: dict[str, DataFrame]
+    folders: dict[str, str]
+    summary: DataFrame
+
+
 def _pages_of(selected: DataFrame, corpus: DataFrame, limit: int | None) -> DataFrame:
     """Fetched pages of the selected urls; a bounded selection is broadcast, so html is filtered where it lies."""
     if limit is not None and limit <= BOUNDED_ROWS:
@@ -127,38 +136,43 @@ def run_batch(
     spark: SparkSession,
     keyword_products: DataFrame,
     corpora: Corpora,
-    tables_in: str | None,
+    folders: dict[str, str] | None,
     tables_out: str,
-    history: str,
+    appended: str,
     run_at: datetime,
     options: RunOptions | None = None,
     shop_products: DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """Run every step in order and return all tables plus the one-row `summary`.
-
-    tables_in / tables_out are the previous and the new version of the keyed tables (different folders of
-    shared storage), history the root of the appended ones. keyword_products and shop_products are the first
-    result of `read_keywords`. Each table is written once and read back before a later step uses it, so steps
-    never repeat each other's work. Repeating a call with the same run_at rewrites the same version and
-    appends nothing twice.
+) -> RunResult:
+    """Run every step in order.
+
+    folders is what the previous run returned (None for the first); the keyed tables this run changes are
+    written below tables_out, the others stay where they are. appended is the root of the growing tables.
+    Both lie on shared storage. keyword_products and shop_products are the first result of `read_keywords`.
+
+    Each table is written once and read back before a later step uses it, so no step repeats another's work.
+    Repeating a call with the same arguments rewrites the same version and appends nothing twice.
     """
     opt = options or RunOptions()
     now = moment(run_at)
-    tables = {name: read_table(spark, tables_in, name) for name in KEYED_TABLES}
-    tables |= {name: read_table(spark, history, name) for name in HISTORY_TABLES}
+    places = dict(folders or {})
+    tables = {name: read_table(spark, places.get(name), name) for name in KEYED_TABLES}
+    tables |= {name: read_table(spark, folder_of(appended, name), name) for name in APPENDED_TABLES}
 
     def keep(name: str, df: DataFrame) -> None:
         tables[name] = write_keyed(df, tables_out, name)
+        places[name] = folder_of(tables_out, name)
 
     def append(name: str, df: DataFrame, stamp: str = "scraped_at") -> None:
-        tables[name] = append_history(df, history, name, stamp, run_at)
+        tables[name] = append_history(df, appended, name, stamp, run_at)
 
     def of_run(df: DataFrame) -> DataFrame:
-        return df.where(F.col("scraped_at") == now)
+        dated = df.where(F.col("run_date") == F.to_date(now)) if "run_date" in df.columns else df
+        return dated.where(F.col("scraped_at") == now)
 
     keep("our_products", seed_products(tables["our_products"], keyword_products, now))
 
     # Ranked results, snapshots, registries.
+    registry = tables["competitor_products"]
     if corpora.serp is not None and not opt.skip_serp:
         wanted = only_keywords(corpora.serp, distinct_queries(keyword_products).select("query"))
         links = last_per_key(ranked_links(wanted), ["query", "position"], ["fetched_at"])
@@ -170,21 +184,15 @@ def run_batch(
             "serp_snapshots", heads.withColumns({"snapshot_id": snapshot_key(F.col("query"), now), "scraped_at": now})
         )
         append("serp_snapshot_results", build_snapshot_results(fresh, opt.our_domains).withColumn("scraped_at", now))
-        sighted = of_run(tables["serp_snapshot_results"].where(F.col("run_date") == F.to_date(now)))
+        sighted = of_run(tables["serp_snapshot_results"])
         keep("competitors", competitor_registry(sighted, existing=tables["competitors"]))
-        registry = competitor_product_registry(sighted, existing=tables["competitor_products"])
-    else:
-        keep("serp_results", tables["serp_results"])
-        keep("competitors", tables["competitors"])
-        registry = tables["competitor_products"]
+        registry = competitor_product_registry(sighted, existing=registry)
 
     # Stored pages.
-    stored = tables["product_pages"]
     if corpora.products is not None and not opt.skip_pages:
-        missing = select_uncrawled(tables["serp_results"], stored, opt.pages_limit)
+        missing = select_uncrawled(tables["serp_results"], tables["product_pages"], opt.pages_limit)
         arrived = _pages_of(missing, corpora.products, opt.pages_limit).join(missing, "url", "left_semi")
-        stored = stored_pages(arrived, now, stored)
-    keep("product_pages", stored)
+        append("product_pages", stored_pages(arrived, now))
 
     # Labels, product snapshots, change log.
     if corpora.products is not None and not opt.skip_classify:
@@ -192,34 +200,29 @@ def run_batch(
             tables["serp_results"], tables["classifications"], opt.our_domains, opt.classify_limit
         )
         labels = write_staged(product_labels(todo, corpora.products, opt), tables_out, "run_labels")
-        keep("classifications", upsert_replace(tables["classifications"], classification_row(labels, now), ["url"], ["classified_at"]))
+        labelled = upsert_replace(tables["classifications"], classification_row(labels, now), ["url"], ["classified_at"])
+        keep("classifications", labelled)
         append("product_snapshots", product_snapshot_rows(labels, registry, tables["product_snapshots"], now))
-        today = tables["product_snapshots"].where(F.col("run_date") == F.to_date(now))
-        registry = touch_last_scraped(registry, of_run(today))
-    else:
-        keep("classifications", tables["classifications"])
-    keep("competitor_products", registry)
+        registry = touch_last_scraped(registry, of_run(tables["product_snapshots"]))
+    if registry is not tables["competitor_products"]:
+        keep("competitor_products", registry)
     if not opt.skip_delta:
         append("deltas", detect_deltas(tables["classifications"], tables["deltas"], now), "detected_at")
 
     # Marketplace results and listings.
-    shop_results = tables["shop_serp_results"]
     if corpora.shop is not None:
         wanted = corpora.shop
         if shop_products is not None:
             wanted = only_keywords(wanted, distinct_queries(shop_products).select("query"))
         ranked = marketplace_results(wanted, domain=opt.shop_domain)
         last = last_per_key(ranked, ["query", "position"], ["fetched_at", "seq"]).drop("fetched_at", "seq")
-        shop_results = upsert_replace(
-            shop_results, last.withColumn("scraped_at", now), ["query", "position"], ["scraped_at"]
-        )
-    keep("shop_serp_results", shop_results)
-    listings = tables["shop_listings"]
+        found = last.withColumn("scraped_at", now)
+        keep("shop_serp_results", upsert_replace(tables["shop_serp_results"], found, ["query", "position"], ["scraped_at"]))
     if corpora.listings is not None:
-        todo = select_unscraped_listings(tables["shop_serp_results"], listings, opt.listings_limit)
+        todo = select_unscraped_listings(tables["shop_serp_results"], tables["shop_listings"], opt.listings_limit)
         rows = write_staged(listing_rows(todo, corpora.listings, opt, now), tables_out, "run_listings")
-        listings = upsert_replace_multi(listings, rows, [["url"], ["listing_id"]], ["scraped_at", "url"])
-    keep("shop_listings", listings)
+        listings = upsert_replace_multi(tables["shop_listings"], rows, [["url"], ["listing_id"]], ["scraped_at", "url"])
+        keep("shop_listings", listings)
 
     counted = ("serp_results", "serp_snapshots", "competitors", "product_pages", "product_snapshots", "classifications")
-    return tables | {"summary": pipeline_summary(*[tables[name] for name in counted])}
+    return RunResult(tables, places, pipeline_summary(*[tables[name] for name in counted]))

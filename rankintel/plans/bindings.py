@@ -65,16 +65,16 @@ class Bound:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return spread(self.table("documents"))
+        return spread(self.table("documents"), "doc_id")
 
     @cached_property
     def html_pages(self) -> DataFrame:
-        return spread(self.table("pages"))
+        return spread(self.table("pages"), "page_id")
 
     @cached_property
     def result_rows(self) -> DataFrame:
         """Every line of every order as a search result of its customer, before the upsert."""
-        lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = spread(self.table("lineitem"), "l_orderkey").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         return lines.select(
             F.col("o_custkey").alias("query"),
             F.col("l_linenumber").alias("position"),
@@ -150,7 +150,7 @@ class Bound:
     @cached_property
     def snap_res(self) -> DataFrame:
         """Result rows of each order's snapshot; a domain is ours if its supplier sits in our region."""
-        rows = self.table("lineitem").select(
+        rows = spread(self.table("lineitem"), "l_orderkey").select(
             F.col("l_orderkey").alias("snapshot_id"), F.col("l_linenumber").alias("position"),
             F.col("l_partkey").alias("url"), "l_suppkey", "l_extendedprice",
         )

@@ -17,7 +17,7 @@ from rankintel.operators.digest import digest_rows
 from rankintel.operators.marketplace import fix_zero_positions, marketplace_results
 from rankintel.operators.page_text import html_to_text, jsonld_leaves, page_guard
 from rankintel.operators.ranked_links import ranked_links
-from rankintel.plans.batch import Corpora, RunOptions, latest_digest, run_batch
+from rankintel.plans.batch import Corpora, RunOptions, RunResult, run_batch
 from rankintel.plans.bindings import LINK_SITE, Bound, bound
 from rankintel.sources.keywords import distinct_queries
 from rankintel.sources.pages import stored_pages
@@ -531,16 +531,16 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/rankintel-{datetime.now():%Y%m%d%H%M%S%f}"
 
 
-def _two_runs(b: Bound) -> dict[str, DataFrame]:
-    """Two runs over the documents: sources are the products, documents their queries and pages."""
+def _two_runs(b: Bound) -> RunResult:
+    """Two runs over the documents: each is a product tracked by its own query, each of its lines a product page."""
     root = work_folder(b.spark)
-    docs = b.lines
-    products = docs.groupBy(F.col("source").alias("handle")).agg(
-        F.min("doc_id").alias("ordinal"), F.collect_list(F.col("doc_id").cast("string")).alias("queries")
-    ).select("handle", F.col("handle").alias("title"), F.lit(LINK_SITE).alias("our_url"), F.lit(0).alias("views_90d"), "queries", "ordinal")
-    pages = docs.select(
-        F.explode(F.array_distinct("lines")).alias("line"), "lang"
-    ).groupBy("line").agg(F.min("lang").alias("lang"))
+    name = F.col("doc_id").cast("string")
+    products = b.lines.select(
+        name.alias("handle"), F.col("source").alias("title"), F.lit(LINK_SITE).alias("our_url"), F.lit(0).alias("views_90d"),
+        F.array(name).alias("queries"), F.col("doc_id").alias("ordinal"),
+    )
+    lines = b.lines.select(F.explode(F.array_distinct("lines")).alias("line"), "lang")
+    pages = lines.groupBy("line").agg(F.min("lang").alias("lang"))
     seen = F.lit("2024-01-01").cast("timestamp")
     corpora = Corpora(
         serp=b.search_pages.select(F.col("query").cast("string").alias("query"), "html", seen.alias("fetched_at")),
@@ -548,18 +548,19 @@ def _two_runs(b: Bound) -> dict[str, DataFrame]:
             F.concat(F.lit(LINK_SITE), F.md5("line")).alias("url"), F.concat(F.lit("<title>"), "lang", F.lit("</title>"), "line").alias("html"), seen.alias("fetched_at")
         ),
     )
-    tables = {}
+    options = RunOptions(classify_limit=None, our_domains=("ours.example",))
+    done = None
     for turn in (1, 2):
-        tables = run_batch(
-            b.spark, products, corpora, f"{root}/v{turn - 1}" if turn > 1 else None, f"{root}/v{turn}", f"{root}/history",
-            datetime(2024, 1, 7 * turn), RunOptions(classify_limit=None, our_domains=("ours.example",)),
+        done = run_batch(
+            b.spark, products, corpora, done.folders if done else None, f"{root}/v{turn}", f"{root}/appended",
+            datetime(2024, 1, 7 * turn), options,
         )
-    return tables
+    return done
 
 
 @query
 def run_batch_(b: Bound) -> DataFrame:
-    return _two_runs(b)["summary"]
+    return _two_runs(b).summary
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,7 +24,7 @@ PAGE_FETCHES = _schema("url string, html string, fetched_at timestamp")
 SERP_RESULTS = _schema(
     "query string, position int, url string, title string, snippet string, scraped_at timestamp"
 )
-PRODUCT_PAGES = _schema("url string, page_title string, raw_html string, scraped_at timestamp")
+PRODUCT_PAGES = _schema("url string, page_title string, raw_html string, scraped_at timestamp, run_date date")
 CLASSIFICATIONS = _schema(
     "url string, metal_type string, karat string, base_metal string, price_usd double, "
     "evidence string, confidence string, classified_at timestamp"
@@ -61,10 +61,10 @@ SHOP_LISTINGS = _schema(
     "scraped_at timestamp"
 )
 
-# Keyed tables are rewritten by a run; history tables only grow, partitioned by run_date.
+# Keyed tables are rewritten by a run that changes them; appended tables only grow, partitioned by run_date.
+# Stored pages are keyed by url too, but the first page of a url stays, so new ones are appended.
 KEYED_TABLES = {
     "serp_results": SERP_RESULTS,
-    "product_pages": PRODUCT_PAGES,
     "classifications": CLASSIFICATIONS,
     "our_products": OUR_PRODUCTS,
     "competitors": COMPETITORS,
@@ -72,10 +72,11 @@ KEYED_TABLES = {
     "shop_serp_results": SHOP_SERP_RESULTS,
     "shop_listings": SHOP_LISTINGS,
 }
-HISTORY_TABLES = {
+APPENDED_TABLES = {
+    "product_pages": PRODUCT_PAGES,
     "deltas": DELTAS,
     "serp_snapshots": SERP_SNAPSHOTS,
     "serp_snapshot_results": SERP_SNAPSHOT_RESULTS,
     "product_snapshots": PRODUCT_SNAPSHOTS,
 }
-TABLES = KEYED_TABLES | HISTORY_TABLES
+TABLES = KEYED_TABLES | APPENDED_TABLES

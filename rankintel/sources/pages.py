@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankintel import schemas
 from rankintel.functions.text import first_match, strip
 from rankintel.operators.page_text import TITLE
-from rankintel.operators.upsert import first_per_key, insert_ignore
+from rankintel.operators.upsert import first_per_key
 
 # Fixed value: characters of html a stored page keeps.
 STORED_CHARS = 50_000
@@ -19,22 +19,27 @@ def fetched(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.where(F.length(html) > 0)
 
 
-def spread(corpus: DataFrame) -> DataFrame:
-    """Deal a file scan with fewer splits than cores out evenly, because parsing costs far more than moving it.
+def spread(scan: DataFrame, *key: str) -> DataFrame:
+    """Hash a file scan of fewer splits than cores out by its key, because parsing costs far more than moving it.
 
-    A corpus of many splits is returned as it is: its html is never shuffled.
+    A scan of many splits is returned as it is, so a large corpus is never shuffled.
     """
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    return corpus.repartition(cores) if corpus.rdd.getNumPartitions() < cores else corpus
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def read_pages(spark: SparkSession, path: str, schema: schemas.Schema = schemas.PAGE_FETCHES, fmt: str = "parquet") -> DataFrame:
-    """Scan a page corpus (parquet by default) by its declared schema; failed fetches are left out."""
-    return fetched(spread(spark.read.schema(schemas.ddl(schema)).format(fmt).load(path)))
+def read_pages(
+    spark: SparkSession, path: str, schema: schemas.Schema = schemas.PAGE_FETCHES, fmt: str = "parquet", key: str = "url"
+) -> DataFrame:
+    """Scan a page corpus (parquet by default) by its declared schema; failed fetches are left out.
+
+    `key` names the page's own column, query for search pages.
+    """
+    return fetched(spread(spark.read.schema(schemas.ddl(schema)).format(fmt).load(path), key))
 
 
 def stored_pages(pages: DataFrame, scraped_at: Column, existing: DataFrame | None = None) -> DataFrame:
-    """Page table rows: title and cut html. A url that is stored already keeps its first page."""
+    """New page table rows: title and cut html, the first fetch per url, none for urls stored already."""
     seen = "fetched_at" if "fetched_at" in pages.columns else "url"
     rows = fetched(pages).select(
         "url",
@@ -44,4 +49,4 @@ def stored_pages(pages: DataFrame, scraped_at: Column, existing: DataFrame | Non
         scraped_at.alias("scraped_at"),
     )
     first = first_per_key(rows, ["url"], ["_seen"]).drop("_seen")
-    return insert_ignore(existing, first, ["url"], ["scraped_at"])
+    return first if existing is None else first.join(existing.select("url"), "url", "left_anti")

@@ -20,16 +20,16 @@ def moment(run_at: datetime) -> Column:
     return F.lit(run_at.isoformat(sep=" ")).cast("timestamp")
 
 
-def _path(root: str, name: str) -> str:
+def folder_of(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def read_table(spark: SparkSession, root: str | None, name: str) -> DataFrame:
+def read_table(spark: SparkSession, folder: str | None, name: str) -> DataFrame:
     """One table by its declared schema; a table not written yet is empty."""
     schema = schemas.ddl(schemas.TABLES[name])
-    if root is not None:
+    if folder is not None:
         try:
-            return spark.read.schema(schema).parquet(_path(root, name))
+            return spark.read.schema(schema).parquet(folder)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -38,7 +38,7 @@ def read_table(spark: SparkSession, root: str | None, name: str) -> DataFrame:
 
 def load_tables(spark: SparkSession, root: str, views: bool = False) -> dict[str, DataFrame]:
     """All tables under a root, optionally registered as temporary views of the same names."""
-    tables = {name: read_table(spark, root, name) for name in schemas.TABLES}
+    tables = {name: read_table(spark, folder_of(root, name), name) for name in schemas.TABLES}
     if views:
         for name, table in tables.items():
             table.createOrReplaceTempView(name)
@@ -51,19 +51,19 @@ def _shaped(df: DataFrame, name: str) -> DataFrame:
 
 def write_keyed(df: DataFrame, root: str, name: str) -> DataFrame:
     """Write one version of a keyed table and return it read back, which also ends its lineage."""
-    _shaped(df, name).write.mode("overwrite").parquet(_path(root, name))
-    return read_table(df.sparkSession, root, name)
+    _shaped(df, name).write.mode("overwrite").parquet(folder_of(root, name))
+    return read_table(df.sparkSession, folder_of(root, name), name)
 
 
 def write_staged(df: DataFrame, root: str, name: str) -> DataFrame:
     """Keep an intermediate result of a run as parquet, so that a lost executor never repeats its work."""
-    path = _path(root, name)
+    path = folder_of(root, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append_history(df: DataFrame, root: str, name: str, stamp: str = "scraped_at", run_at: datetime | None = None) -> DataFrame:
-    """Append rows to a history table, partitioned by run date; returns the whole table.
+    """Append rows to a growing table, partitioned by run date; returns the whole table.
 
     With `run_at` the append is repeatable: rows already stamped with that time mean the run got this far
     before, and nothing is written twice.
@@ -71,9 +71,9 @@ def append_history(df: DataFrame, root: str, name: str, stamp: str = "scraped_at
     spark = df.sparkSession
     if run_at is not None:
         stamped = moment(run_at)
-        written = read_table(spark, root, name).where((F.col("run_date") == F.to_date(stamped)) & (F.col(stamp) == stamped))
+        written = read_table(spark, folder_of(root, name), name).where((F.col("run_date") == F.to_date(stamped)) & (F.col(stamp) == stamped))
         if written.head(1):
-            return read_table(spark, root, name)
+            return read_table(spark, folder_of(root, name), name)
     dated = df if "run_date" in df.columns else df.withColumn("run_date", F.to_date(stamp))
-    _shaped(dated, name).write.mode("append").partitionBy("run_date").parquet(_path(root, name))
-    return read_table(spark, root, name)
+    _shaped(dated, name).write.mode("append").partitionBy("run_date").parquet(folder_of(root, name))
+    return read_table(spark, folder_of(root, name), name)
