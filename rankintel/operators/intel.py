@@ -38,12 +38,16 @@ SUMMARIES = {
 
 def _ranked(serp: DataFrame, keywords, limit: int | None, per_query: bool) -> DataFrame:
     """Results of the keywords in query and position order, cut globally or per query."""
+    order = [F.asc("position"), F.asc("url")]
+    if per_query and limit is not None and isinstance(keywords, DataFrame):
+        # The cut comes first: after a semi join on the query, a query with very many results would sit in one task.
+        return only_keywords(top_per_group(serp, ["query"], order, limit), keywords)
     chosen = only_keywords(serp, keywords)
     if limit is None:
         return chosen
     if per_query:
-        return top_per_group(chosen, ["query"], [F.asc("position"), F.asc("url")], limit)
-    return chosen.orderBy("query", "position", "url").limit(limit)
+        return top_per_group(chosen, ["query"], order, limit)
+    return chosen.orderBy("query", *order).limit(limit)
 
 
 def _bound(limit: int | None, per_query: bool) -> int | None:

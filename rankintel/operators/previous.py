@@ -14,11 +14,12 @@ def with_previous(
     """Add `previous`: a struct of `values` from the key's preceding row, NULL for its first row.
 
     A plain lag sorts all rows of a key in one task. Here a key is cut into chunks along its order (`chunk`
-    must not decrease with it; default: the day of the first order column). Inside a chunk an ordinary lag
-    does the work, spread by key and chunk. Only the first row of each chunk, which also carries the
-    chunk's last values, goes on to a lag over the key's chunks.
+    must not decrease with it; default: the hour of the first order column, a time). Inside a chunk an
+    ordinary lag does the work, spread by key and chunk. Only the first row of each chunk, which also carries
+    the chunk's last values, goes on to a lag over the key's chunks. The explicit repartition matters: rows
+    that arrive already hashed by the key alone would otherwise stay together.
     """
-    piece = F.to_date(F.col(order[0])) if chunk is None else chunk
+    piece = F.date_trunc("hour", F.col(order[0])) if chunk is None else chunk
     told = F.struct(*values)
     spread = df.withColumn("_chunk", piece).repartition(*keys, "_chunk")
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)

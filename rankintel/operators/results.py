@@ -93,10 +93,11 @@ def product_classification(serp: DataFrame, pages: DataFrame, classes: DataFrame
         _optional(classes, "classified_at", "timestamp"),
     ]
     hits = labelled.where(known).select("url", F.lit("classified").alias("status"), *shown, "query", "position", "title")
-    open_rows = serp.select("url", "query", "position").join(classes.select("url"), "url", "left_anti")
-    waiting = top_per_group(
-        open_rows, ["url"], [F.asc("position"), F.asc("query")], UNCLASSIFIED_APPEARANCES
-    ).withColumn("status", F.lit("in_serp_not_classified"))
+    # Cut to five per url before the anti join: cut after it, a url filling many rows would sit in one task.
+    best = top_per_group(
+        serp.select("url", "query", "position"), ["url"], [F.asc("position"), F.asc("query")], UNCLASSIFIED_APPEARANCES
+    )
+    waiting = best.join(classes.select("url"), "url", "left_anti").withColumn("status", F.lit("in_serp_not_classified"))
     unseen = (
         classes.join(serp.select("url").distinct(), "url", "left_anti")
         .join(pages.select("url", "page_title"), "url", "left")
