@@ -33,18 +33,27 @@ def jsonld_blocks(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(JSONLD_SCRIPT), F.lit(1))
 
 
-def parsed_blocks(html: Column) -> Column:
-    """The blocks as array<variant>; an unreadable block is NULL."""
-    return F.transform(jsonld_blocks(html), lambda b: F.try_parse_json(strip(b)))
+def block_roots(html: Column) -> Column:
+    """Per block its root object or the elements of its root array, array<array<variant>>; unreadable ones are empty."""
+    none = F.array().cast("array<variant>")
+    bodies = F.transform(jsonld_blocks(html), strip)
+    read = F.transform(bodies, lambda b: F.struct(F.startswith(b, F.lit("{")).alias("single"), F.try_parse_json(b).alias("value")))
+    return F.transform(
+        read,
+        lambda x: F.when(x["single"], F.array_compact(F.array(x["value"]))).otherwise(
+            F.coalesce(F.try_variant_get(x["value"], "$", "array<variant>"), none)
+        ),
+    )
 
 
-def kind(value: Column) -> Column:
-    """Type name of a variant such as STRING, BIGINT or OBJECT<...>."""
-    return F.schema_of_variant(value)
+def typed(objects: Column, *types: str) -> Column:
+    """The objects whose @type is one of the given ones; anything that is no object has none."""
+    return F.filter(objects, lambda o: text_at(o, '$["@type"]').isin(*types))
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(kind(value), F.lit("OBJECT")), F.lit(False))
+def kind(value: Column) -> Column:
+    """Type name of a variant such as STRING, BIGINT or OBJECT<...>. Cheap on scalars only."""
+    return F.schema_of_variant(value)
 
 
 def text_at(value: Column, path: str) -> Column:
@@ -55,24 +64,23 @@ def part_at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
-def root_objects(block: Column) -> Column:
-    """The block's root object as a one-element array, or the objects of its root array."""
-    many = F.filter(F.try_variant_get(block, "$", "array<variant>"), is_object)
-    return F.when(is_object(block), F.array(block)).otherwise(
-        F.coalesce(many, F.array().cast("array<variant>"))
+def first_offer(thing: Column) -> Column:
+    """struct(price, low) of the first offer, as variants."""
+    return F.struct(
+        F.coalesce(part_at(thing, "$.offers[0].price"), part_at(thing, "$.offers.price")).alias("price"),
+        F.coalesce(part_at(thing, "$.offers[0].lowPrice"), part_at(thing, "$.offers.lowPrice")).alias("low"),
     )
 
 
-def offer_price(thing: Column) -> Column:
-    """Price of the first offer: `price`, or `lowPrice` where that is missing, empty or 0."""
-    offer = F.coalesce(part_at(thing, "$.offers[0]"), part_at(thing, "$.offers"))
+def offer_price(offer: Column) -> Column:
+    """Number of an offer: its price, or its low price where that is missing, empty or 0."""
 
-    def given(path: str) -> Column:
-        text = text_at(offer, path)
-        zero = (kind(part_at(offer, path)) != "STRING") & (to_number(text) == 0)
+    def given(value: Column) -> Column:
+        text = value.try_cast("string")
+        zero = (kind(value) != "STRING") & (to_number(text) == 0)
         return F.when((text != "") & ~F.coalesce(zero, F.lit(False)), text)
 
-    return to_number(F.coalesce(given("$.price"), given("$.lowPrice")))
+    return to_number(F.coalesce(given(offer["price"]), given(offer["low"])))
 
 
 def _leaves(block_no: int, text: str) -> Iterator[tuple[int, str, str]]:

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode whitespace plus the four ASCII separators; used with the (?U) flag.
-WS = r"[\s\x1c-\x1f]"
+# Fixed value: the Unicode whitespace characters, the ASCII separators among them.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def strip(text: Column) -> Column:
     """Drop leading and trailing Unicode whitespace."""
-    return F.regexp_replace(text, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of Unicode whitespace to one space."""
-    return F.regexp_replace(text, rf"(?U){WS}+", " ")
+    return F.regexp_replace(text, f"[{SPACES}]+", " ")
 
 
 def is_blank(text: Column) -> Column:

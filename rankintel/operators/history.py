@@ -52,7 +52,7 @@ def serp_history(
     if query is not None and limit is not None and limit <= BOUNDED_ROWS:
         near = near.join(F.broadcast(newest.select("snapshot_id")), "snapshot_id", "left_semi")
     domains = near.groupBy("snapshot_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "domain"))).alias("top_domains")
+        F.sort_array(F.collect_list(F.struct("position", "domain"))).alias("top_domains")
     )
     our_url = F.col("our_url") if "our_url" in snapshots.columns else F.lit(None).cast("string").alias("our_url")
     return newest.join(domains, "snapshot_id", "left").select(
@@ -62,8 +62,12 @@ def serp_history(
 
 
 def position_trend(snapshots: DataFrame, query=None, limit: int | None = SNAPSHOTS, query_col: str = "query") -> DataFrame:
-    """query, weeks_tracked, current_position, trend: oldest against newest known position in the window."""
+    """query, weeks_tracked, current_position, trend: oldest against newest known position in the window.
+
+    our_url is that of the newest snapshot, if the snapshots carry one.
+    """
     stamp = F.struct("scraped_at", "snapshot_id")
+    ours = [F.max_by(F.struct("our_url"), stamp)["our_url"].alias("our_url")] if "our_url" in snapshots.columns else []
     known = F.when(F.col("our_position").isNotNull(), stamp)
     folded = (
         _newest_snapshots(snapshots, query, limit, query_col)
@@ -72,11 +76,12 @@ def position_trend(snapshots: DataFrame, query=None, limit: int | None = SNAPSHO
             F.count(F.lit(1)).alias("weeks_tracked"),
             F.max_by("our_position", known).alias("current_position"),
             F.min_by("our_position", known).alias("_oldest"),
+            *ours,
         )
     )
     now, then = F.col("current_position"), F.col("_oldest")
     trend = F.when(now.isNull(), "not_ranked").when(now < then, "improving").when(now > then, "declining").otherwise("stable")
-    return folded.select("query", "weeks_tracked", "current_position", trend.alias("trend"))
+    return folded.withColumn("trend", trend).drop("_oldest")
 
 
 def _defaulted(df: DataFrame) -> dict[str, Column]:
@@ -126,20 +131,24 @@ def competitor_products(
 
 
 def _owned_snapshots(snapshots: DataFrame, products: DataFrame, url, key: str) -> tuple[DataFrame, DataFrame]:
-    owned = products.select(*{key, "url"}, "domain")
+    name = [or_else(F.col("name"), F.col("domain")).alias("name")] if "name" in products.columns else []
+    owned = products.select(*dict.fromkeys([key, "url"]), "domain", *name)
     return snapshots, owned if url is None else owned.where(F.col("url") == F.lit(url))
 
 
 def price_history(
     snapshots: DataFrame, products: DataFrame, url=None, key: str = "url", order: Sequence[str] = ("scraped_at",)
 ) -> DataFrame:
-    """All snapshots with report defaults; in time order for a single url. `products` carries url and domain."""
+    """All snapshots with report defaults; in time order for a single url.
+
+    `products` carries url, domain and, if known, the competitor's name.
+    """
     rows, owned = _owned_snapshots(snapshots, products, url, key)
     if key == "url" and url is not None:
         rows = rows.where(F.col("url") == F.lit(url))
     joined = rows.join(owned, key)
     shown = joined.select(
-        "url", "domain", *[c for c in dict.fromkeys(["scraped_at", *order])], "price_usd",
+        *[c for c in ("url", "domain", "name") if c in joined.columns], *dict.fromkeys(["scraped_at", *order]), "price_usd",
         *[c.alias(n) for n, c in _defaulted(rows).items()],
     )
     return shown if url is None else shown.orderBy(*order)
@@ -164,8 +173,7 @@ def price_range(
         F.max_by(F.struct("price_usd"), F.struct(*order)).alias("_newest"),
     )
     return owned.join(folded, key, "left").select(
-        "url",
-        "domain",
+        *[c for c in ("url", "domain", "name") if c in owned.columns],
         F.when(F.col("_rows").isNull(), "no_snapshots").otherwise("ok").alias("status"),
         F.coalesce("_rows", F.lit(0)).cast("bigint").alias("total_snapshots"),
         F.coalesce("_flags", F.lit(0)).cast("bigint").alias("price_changes_detected"),

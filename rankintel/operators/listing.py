@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankintel.functions.jsonld import kind, offer_price, parsed_blocks, part_at, root_objects, text_at
+from rankintel.functions.jsonld import block_roots, first_offer, kind, offer_price, part_at, text_at, typed
 from rankintel.functions.labels import DOLLAR_PRICE
 from rankintel.functions.text import first_match, or_else, strip, to_number
 from rankintel.functions.urls import listing_id_of
@@ -36,22 +36,20 @@ def listing_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     kept = [c for c in pages.columns if c != html]
     page = F.col(html)
-    products = F.filter(
-        F.flatten(F.transform(parsed_blocks(page), root_objects)),
-        lambda p: text_at(p, '$["@type"]').isin(*PRODUCT_TYPES),
-    )
+    products = typed(F.flatten(block_roots(page)), *PRODUCT_TYPES)
 
     def shops(product: Column) -> Column:
         brand = F.when(kind(part_at(product, "$.brand")) == "STRING", text_at(product, "$.brand"))
         return F.array(F.coalesce(brand, text_at(product, "$.brand.name")), text_at(product, "$.seller.name"))
 
+    offers = F.transform("_products", first_offer)
     read = pages.withColumn("_products", products).select(
         *kept,
         _first_given(F.transform("_products", lambda p: text_at(p, "$.name"))).alias("_name"),
         F.substring(_first_given(F.transform("_products", lambda p: text_at(p, "$.description"))), 1, DESCRIPTION_CHARS).alias(
             "description"
         ),
-        F.get(F.filter(F.transform("_products", offer_price), lambda v: v != 0), F.lit(0)).alias("_price"),
+        F.get(F.filter(F.transform(offers, offer_price), lambda v: v != 0), F.lit(0)).alias("_price"),
         _first_given(F.flatten(F.transform("_products", shops))).alias("shop"),
         _words(page, MATERIAL_ARRAY).alias("materials"),
         _words(page, TAG_ARRAY).alias("tags"),

@@ -9,14 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankintel.functions.jsonld import is_object, kind, offer_price, parsed_blocks, part_at, root_objects, text_at
+from rankintel.functions.jsonld import (
+    block_roots,
+    first_offer,
+    kind,
+    offer_price,
+    part_at,
+    text_at,
+    typed,
+)
 from rankintel.functions.labels import DOLLAR_PRICE
 from rankintel.functions.text import first_match, or_else, strip, to_number
 from rankintel.functions.urls import listing_id_of, without_query
 
 # Fixed values of the marketplace's page format.
 MARKETPLACE_DOMAIN = "etsy.com"
-LISTING_ATTRIBUTE = r"""data-listing-id=["'](\d+)["']"""
+LISTING_MARK = "data-listing-id="
+LISTING_QUOTED = r"""^["'](\d+)(["'])"""
 LISTING_HEADING = r"<h[23][^>]*>\s*([^<]{10,200})\s*</h[23]>"
 CHARS_BEFORE, CHARS_AFTER = 200, 1000
 
@@ -39,72 +48,110 @@ def _listing(position: Column, listing_id: Column, url: Column, title: Column, p
     )
 
 
-def _stated_position(item: Column) -> Column:
-    """Position given by the item: whole numbers, or numbers cut to whole; NULL if unreadable."""
-    raw = text_at(item, "$.position")
-    number = to_number(raw).cast("bigint")
-    return F.when((kind(part_at(item, "$.position")) != "STRING") | raw.rlike(r"^\s*[+-]?\d+\s*$"), number)
-
-
-def _item_list(block: Column) -> Column:
-    """Items of the block's item list: its root object, or the first one in a root array."""
-    lists = F.filter(root_objects(block), lambda o: text_at(o, '$["@type"]') == "ItemList")
-    return F.try_variant_get(F.get(lists, F.lit(0)), "$.itemListElement", "array<variant>")
+def _whole(position: Column) -> Column:
+    """A stated position: a whole number as text, or a number cut to whole; NULL if unreadable."""
+    text = position.try_cast("string")
+    return F.when((kind(position) != "STRING") | text.rlike(r"^\s*[+-]?\d+\s*$"), to_number(text).cast("bigint"))
 
 
 def structured_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column:
-    """Listings named by the page's JSON-LD item lists; malformed items are left out one by one."""
+    """Listings named by the page's JSON-LD item lists; malformed items are left out one by one.
+
+    One transform per step, so that each step reads the one before instead of computing it again.
+    """
+    none = F.array().cast("array<variant>")
+    # Of a root array only the first item list counts.
+    lists = F.flatten(F.transform(block_roots(html), lambda roots: F.slice(typed(roots, "ItemList"), 1, 1)))
     items = F.flatten(
-        F.transform(parsed_blocks(html), lambda b: F.coalesce(_item_list(b), F.array().cast("array<variant>")))
+        F.transform(lists, lambda o: F.coalesce(F.try_variant_get(o, "$.itemListElement", "array<variant>"), none))
     )
 
-    def reading(item: Column) -> Column:
+    def opened(item: Column) -> Column:
         nested = part_at(item, "$.item")
-        thing = F.coalesce(nested, item)
         return F.struct(
-            is_object(item).alias("readable"),
-            is_object(thing).alias("usable"),
-            part_at(item, "$.position").isNotNull().alias("has_position"),
-            _stated_position(item).alias("position"),
+            item.alias("item"),
+            F.coalesce(nested, item).alias("thing"),
+            (nested.isNull() | F.startswith(kind(nested), F.lit("OBJECT"))).alias("usable"),
+            part_at(item, "$.position").alias("position"),
+        )
+
+    def parts(x: Column) -> Column:
+        item, thing = x["item"], x["thing"]
+        return F.struct(
+            x["usable"].alias("usable"),
+            x["position"].isNull().alias("unplaced"),
+            _whole(x["position"]).alias("position"),
             or_else(text_at(thing, "$.url"), text_at(item, "$.url")).alias("url"),
             F.coalesce(or_else(text_at(thing, "$.name"), text_at(item, "$.name")), F.lit("")).alias("title"),
-            offer_price(thing).alias("price"),
+            first_offer(thing).alias("offer"),
         )
 
-    kept = F.filter(
-        F.transform(items, reading),
-        lambda x: x["readable"]
-        & x["usable"]
-        & F.coalesce(F.contains(x["url"], F.lit(domain)), F.lit(False))
-        & (~x["has_position"] | x["position"].isNotNull()),
-    )
-    return F.transform(
-        kept,
-        lambda x, i: _listing(
-            F.coalesce(x["position"], i + 1), listing_id_of(x["url"]), x["url"], x["title"], x["price"], F.lit(False)
-        ),
-    )
+    def wanted(x: Column) -> Column:
+        ours = F.coalesce(F.contains(x["url"], F.lit(domain)), F.lit(False))
+        return ours & x["usable"] & (x["unplaced"] | x["position"].isNotNull())
+
+    def reading(x: Column, order: Column) -> Column:
+        place = F.coalesce(x["position"], order + 1)
+        return _listing(place, listing_id_of(x["url"]), x["url"], x["title"], offer_price(x["offer"]), F.lit(False))
+
+    return F.transform(F.filter(F.transform(F.transform(items, opened), parts), wanted), reading)
 
 
 def attribute_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column:
     """Listings read from listing-id attributes and the markup around their first occurrence.
 
-    One transform per step, so that each step reads the one before instead of computing it again.
+    The page is split at the attribute once and the markup around an occurrence put together from short ends of
+    the pieces, so the work grows with the page and not with page times listings. One transform per step, so
+    that each step reads the one before instead of computing it again.
     """
     site = f"https://www.{domain}"
-    ids = F.array_distinct(F.regexp_extract_all(html, F.lit(LISTING_ATTRIBUTE), F.lit(1)))
+    mark = F.lit(LISTING_MARK)
+    # A window of n characters spans at most this many pieces, each piece costing at least the mark itself.
+    reach_back, reach_on = (n // len(LISTING_MARK) + 2 for n in (CHARS_BEFORE, CHARS_AFTER))
 
-    def place(listing: Column, quote: str) -> Column:
-        at = F.call_function("locate", F.concat(F.lit(f"data-listing-id={quote}"), listing, F.lit(quote)), html)
-        return F.nullif(at, F.lit(0))
+    def piece(text: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(text, LISTING_QUOTED, 1).alias("listing"),
+            F.substr(text, F.lit(1), F.lit(1)).alias("quote"),
+            F.regexp_extract(text, LISTING_QUOTED, 2).alias("closing"),
+            F.substring(text, 1, CHARS_AFTER).alias("start"),
+            F.right(text, F.lit(CHARS_BEFORE)).alias("end"),
+        )
 
-    def surroundings(x: Column) -> Column:
-        start = F.greatest(x["hit"] - CHARS_BEFORE, F.lit(1))
-        return F.coalesce(F.substr(html, start, x["hit"] + CHARS_AFTER - start), F.lit(""))
+    def paired(quote: str):
+        return lambda x: F.when((x["quote"] == quote) & (x["closing"] == quote), x["listing"])
+
+    # One struct per page, kept in an array of one so that its fields are computed once.
+    pieces = F.transform(F.split(html, LISTING_MARK), piece)
+    page = F.transform(F.array(pieces), lambda p: F.struct(p.alias("pieces"), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))).alias("marked")))
+    keyed = F.transform(
+        page,
+        lambda p: F.struct(
+            p["marked"]["listing"].alias("all"),
+            F.transform(p["marked"], paired('"')).alias("double"),
+            F.transform(p["marked"], paired("'")).alias("single"),
+            p["pieces"]["start"].alias("starts"),
+            p["pieces"]["end"].alias("ends"),
+        ),
+    )
+
+    def near(p: Column, listing: Column) -> Column:
+        hit = F.coalesce(
+            F.nullif(F.array_position(p["double"], listing), F.lit(0)), F.nullif(F.array_position(p["single"], listing), F.lit(0))
+        ).cast("int")
+        return F.struct(listing.alias("listing"), hit.alias("hit"))
+
+    def surroundings(p: Column, x: Column) -> Column:
+        first = F.greatest(x["hit"] - reach_back, F.lit(0)) + 1
+        before = F.right(F.array_join(F.slice(p["ends"], first, x["hit"] - first + 1), LISTING_MARK), F.lit(CHARS_BEFORE))
+        after = F.concat(mark, F.array_join(F.slice(p["starts"], x["hit"] + 1, reach_on), LISTING_MARK))
+        text = F.concat(before, F.substring(after, 1, CHARS_AFTER))
+        return F.struct(x["listing"].alias("listing"), F.coalesce(text, F.lit("")).alias("text"))
 
     def link(x: Column) -> Column:
         pattern = F.concat(F.lit(r"""href=["']([^"']*listing/"""), x["listing"], F.lit(r"""[^"']*)["']"""))
-        return F.call_function("regexp_extract", x["text"], pattern, F.lit(1))
+        found = F.call_function("regexp_extract", x["text"], pattern, F.lit(1))
+        return F.struct(x["listing"].alias("listing"), x["text"].alias("text"), found.alias("link"))
 
     def reading(x: Column, position: Column) -> Column:
         text, lowered = x["text"], F.lower(x["text"])
@@ -117,10 +164,11 @@ def attribute_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column:
         title = strip(F.regexp_extract(text, LISTING_HEADING, 1))
         return _listing(position + 1, x["listing"], url, title, to_number(first_match(text, DOLLAR_PRICE)), star)
 
-    hits = F.transform(ids, lambda i: F.struct(i.alias("listing"), F.coalesce(place(i, '"'), place(i, "'")).alias("hit")))
-    near = F.transform(hits, lambda x: F.struct(x["listing"].alias("listing"), surroundings(x).alias("text")))
-    linked = F.transform(near, lambda x: F.struct(x["listing"].alias("listing"), x["text"].alias("text"), link(x).alias("link")))
-    return F.transform(linked, reading)
+    def windows(p: Column) -> Column:
+        ids = F.filter(F.array_distinct(p["all"]), lambda i: i != "")
+        return F.transform(F.transform(ids, lambda i: near(p, i)), lambda x: surroundings(p, x))
+
+    return F.transform(F.transform(F.flatten(F.transform(keyed, windows)), link), reading)
 
 
 def _first_per_listing(df: DataFrame, results: str) -> DataFrame:
