@@ -22,7 +22,8 @@ INSIGHTS = {
     "none_solid": "Zero solid gold competitors in top results. Lead hard on '18k Solid Gold' — "
     "%1$d plated and %2$d vermeil rank above you.",
     "few_solid": "Only %3$d/%4$d solid gold competitors. Strong differentiation opportunity on material quality.",
-    "many_solid": "%3$d/%4$d competitors are solid gold.",
+    "many_solid": "%3$d/%4$d competitors are solid gold — differentiate on designer credentials, handcrafted, "
+    "Nevada-made.",
 }
 SUMMARIES = {
     "no_data": "No data for these keywords yet.",

@@ -42,7 +42,7 @@ def covered_queries(serp: DataFrame) -> DataFrame:
     return serp.select("query").distinct().orderBy("query")
 
 
-def pipeline_summary(
+def run_summary(
     serp: DataFrame,
     snapshots: DataFrame,
     competitors: DataFrame,

@@ -26,7 +26,7 @@ from rankintel.operators.registry import (
 from rankintel.operators.runs import dropouts, entrants, latest_pair, position_shifts, price_moves, top_n_domains
 from rankintel.operators.selection import select_unclassified, select_uncrawled, select_unscraped_listings
 from rankintel.operators.snapshots import build_snapshot_results, build_snapshots, snapshot_key
-from rankintel.operators.stats import pipeline_summary
+from rankintel.operators.stats import run_summary
 from rankintel.operators.upsert import last_per_key, touch_last_scraped, upsert_replace, upsert_replace_multi
 from rankintel.schemas import APPENDED_TABLES, KEYED_TABLES
 from rankintel.sources.keywords import distinct_queries
@@ -225,4 +225,4 @@ def run_batch(
         keep("shop_listings", listings)
 
     counted = ("serp_results", "serp_snapshots", "competitors", "product_pages", "product_snapshots", "classifications")
-    return RunResult(tables, places, pipeline_summary(*[tables[name] for name in counted]))
+    return RunResult(tables, places, run_summary(*[tables[name] for name in counted]))

@@ -516,8 +516,8 @@ def price_range(b: Bound) -> DataFrame:
 
 
 @query
-def pipeline_summary(b: Bound) -> DataFrame:
-    return stats.pipeline_summary(b.serp, b.snaps, b.competitors, b.pages, b.prod_snaps, b.classes)
+def run_summary(b: Bound) -> DataFrame:
+    return stats.run_summary(b.serp, b.snaps, b.competitors, b.pages, b.prod_snaps, b.classes)
 
 
 # The whole run.

@@ -558,7 +558,7 @@ SQL: dict[str, str] = {
           SELECT product_id, COUNT(*) AS n, CAST(SUM(CASE WHEN price_changed THEN 1 ELSE 0 END) AS BIGINT) AS flags,
                  MIN(price_usd) AS min_price, MAX(price_usd) AS max_price FROM flags GROUP BY 1) f USING (product_id)
         LEFT JOIN newest_snap c USING (product_id)""",
-    "pipeline_summary": """
+    "run_summary": """
         SELECT (SELECT COUNT(*) FROM serp) AS serp_results, (SELECT COUNT(*) FROM snaps) AS serp_snapshots,
                (SELECT COUNT(*) FROM competitors) AS competitors, (SELECT COUNT(*) FROM b_pages) AS product_pages,
                (SELECT COUNT(*) FROM prod_snaps) AS product_snapshots, COUNT(*) AS classified,

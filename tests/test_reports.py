@@ -43,7 +43,7 @@ def test_coverage_follows_the_limited_rows(spark, tables, rows):
         ([], "no_data", "No competitor data found for these keywords."),
         (["vermeil", "gold_plated", "gold_filled"], "none_solid", None),
         (["solid_gold", "unknown", "unknown", "unknown"], "few_solid", "Only 1/4 solid gold competitors. Strong differentiation opportunity on material quality."),
-        (["solid_gold", "unknown", "unknown"], "many_solid", "1/3 competitors are solid gold."),
+        (["solid_gold", "unknown", "unknown"], "many_solid", "1/3 competitors are solid gold — differentiate on designer credentials, handcrafted, Nevada-made."),
     ],
 )
 def test_insight(spark, labels, code, text):
