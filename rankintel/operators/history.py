@@ -113,8 +113,8 @@ def competitor_products(
     product. `only_changed` also drops products without any snapshot.
     """
     owners = competitors if domain is None else competitors.where(F.col("domain") == F.lit(domain))
-    owned = products.select(key, *{on, "url"} - {key}, "first_seen_at", "last_scraped_at").join(
-        owners.select(on, *({"domain"} - {on}), "name"), on
+    owned = products.select(*dict.fromkeys([key, on, "url"]), "first_seen_at", "last_scraped_at").join(
+        owners.select(*dict.fromkeys([on, "domain"]), "name"), on
     )
     newest = last_per_key(snapshots, [key], list(order))
     if only_changed:

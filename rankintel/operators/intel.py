@@ -191,11 +191,12 @@ def keyword_context(
 ) -> DataFrame:
     """Results that have both a page and a label, best positions first.
 
-    Pages and labels are unique per url and joined with each other first, so results pass one join.
+    Pages and labels are merged on their unique url first, so results pass one join that can be split.
     """
-    facts = pages.select("url", "page_title").join(classes.select("url", *_label_columns(classes)), "url")
-    rows = only_keywords(serp.select("query", "position", "url"), keywords).join(facts, "url")
-    shown = rows.select(
+    page = pages.select("url", "page_title", F.lit(True).alias("_page"))
+    label = classes.select("url", *_label_columns(classes), F.lit(True).alias("_label"))
+    rows = attach(only_keywords(serp.select("query", "position", "url"), keywords), [page, label])
+    shown = rows.where(F.col("_page") & F.col("_label")).select(
         "metal_type", "karat", "base_metal", "price_usd", "evidence", "page_title", "query", "position", "url"
     )
     if limit is None:

@@ -136,7 +136,8 @@ def price_moves(
     moved = day(current, "new_price", "_now").join(day(previous, "old_price", "_then"), key).where(
         F.abs(step) / F.col("old_price") > pct
     )
-    named = moved.join(products.select(*{key, "url"}), key)
+    # Hashed by price too, so that the pairs of a product with very many prices are not held to one task.
+    named = moved.repartition(key, "new_price").join(products.select(*dict.fromkeys([key, "url"])), key)
     return named.select(
         "url", "old_price", "new_price", (step / F.col("old_price") * 100).alias("pct"), (F.col("_now") * F.col("_then")).alias("n_pairs")
     )

@@ -88,21 +88,22 @@ class Bound:
     def titled(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.table("part").select(F.col("p_partkey").alias("url"), F.col("p_name").alias("title")), "url")
 
+    # Titles join before the rows are hashed by query and position: joined after it, by url, the result would
+    # share its shuffle with the next join on url, and a url filling many rows could not be split.
+
     @cached_property
     def serp(self) -> DataFrame:
-        newest = last_per_key(self.result_rows, ["query", "position"], self.arrival)
-        return self.titled(newest.select("query", "position", "url", "scraped_at"))
+        newest = last_per_key(self.titled(self.result_rows), ["query", "position"], self.arrival)
+        return newest.select("query", "position", "url", "title", "scraped_at")
 
     @cached_property
     def shop_serp(self) -> DataFrame:
         ties = [*self.arrival, "l_quantity", "l_returnflag", "l_linestatus"]
-        newest = last_per_key(self.result_rows, ["query", "position"], ties)
-        return self.titled(
-            newest.select(
-                "query", "position", "url", "scraped_at",
-                F.col("l_extendedprice").alias("price_usd"), F.col("l_returnflag").alias("shop"),
-                F.col("l_quantity").cast("int").alias("reviews"), (F.col("l_linestatus") == "F").alias("star_seller"),
-            )
+        newest = last_per_key(self.titled(self.result_rows), ["query", "position"], ties)
+        return newest.select(
+            "query", "position", "url", "title", "scraped_at",
+            F.col("l_extendedprice").alias("price_usd"), F.col("l_returnflag").alias("shop"),
+            F.col("l_quantity").cast("int").alias("reviews"), (F.col("l_linestatus") == "F").alias("star_seller"),
         )
 
     @cached_property
