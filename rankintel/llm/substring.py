@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from rankintel.llm.words import Windows, words_of
 
@@ -49,38 +49,30 @@ def _concat(parts: list[np.ndarray]) -> np.ndarray:
 
 
 ROWS_AT_ONCE = 500_000
+NO_KEY = (1 << 63) - 1
 
 
-def _rows(found: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Batches of bounded size of (document, hash[, place, tie]) from the hashes of each document."""
-    ids, hashes, places, ties, size = [], [], [], [], 0
+def _rows(found: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size of (document, hash) from the hashes of each document."""
+    ids, hashes, size = [], [], 0
 
     def batch() -> pa.RecordBatch:
-        columns = [_repeat(ids, [len(h) for h in hashes]), _longs(_concat(hashes))]
-        if len(names) > 2:
-            columns.append(pa.array(np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)))
-            columns.append(_repeat(ties, [len(h) for h in hashes]))
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        return pa.RecordBatch.from_arrays([_repeat(ids, [len(h) for h in hashes]), _longs(_concat(hashes))], names=["doc", "hash"])
 
-    for own, values, *place in found:
+    for own, values in found:
         ids.append(own)
         hashes.append(values)
-        if place:
-            places.append(place[0])
-            ties.append(place[1])
         size += len(values)
         if size >= ROWS_AT_ONCE:
             yield batch()
-            ids, hashes, places, ties, size = [], [], [], [], 0
+            ids, hashes, size = [], [], 0
     yield batch()
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, tie and text: `doc` is the key (a null key comes after all others) and `tie` a hash of the text.
-
-    Rows that repeat a key with different texts are told apart by the hash, and are never repeats of each other.
-    """
-    return docs.select(F.coalesce(docs[key].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("text"))
+def _keyed(docs: DataFrame, key: str, text: str, rest: list[str]) -> DataFrame:
+    """doc, text and the struct `rest` of other columns; a null key comes after all others."""
+    others = F.struct(*[docs[c] for c in rest]) if rest else F.lit(None).cast("struct<none:int>")
+    return docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_KEY)).alias("doc"), docs[text].alias("text"), others.alias("rest"))
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -92,150 +84,159 @@ def _anchors(docs: DataFrame) -> DataFrame:
                     if windows.count >= WIDTH:
                         yield doc, np.unique(windows.hashes(ANCHOR_WORDS, cover_positions(windows.count)))
 
-        yield from _rows(found(), ["doc", "hash"])
+        yield from _rows(found())
 
     return docs.select("doc", "text").mapInArrow(run, "doc long, hash long")
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Rows in order of (hash, doc), cut into pieces between hashes; only a hash of very many rows is cut within."""
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(docs, hashes, where a hash begins) of rows in order of (hash, doc), cut between hashes.
+
+    Only a hash of very many rows is cut within; the last value says that a piece may be a part of such a hash.
+    """
     held: list[np.ndarray] | None = None
+
+    def piece(own: list[np.ndarray], part: bool) -> tuple:
+        doc, hashes = own
+        return doc, hashes, np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])), part
+
     for batch in batches:
-        own = [batch.column(i).to_numpy() for i in range(columns)]
+        own = [batch.column(i).to_numpy() for i in range(2)]
         if held is not None:
             own = [np.concatenate(pair) for pair in zip(held, own)]
         held = own
         if not len(own[0]):
             continue
         cut = int(np.searchsorted(own[1], own[1][-1]))  # where the last hash begins
-        if not cut:
+        part = not cut
+        if part:
             if len(own[0]) < ROWS_AT_ONCE:
                 continue
             cut = len(own[0]) - 1
-        yield [x[:cut] for x in own]
+        yield piece([x[:cut] for x in own], part)
         held = [x[cut:] for x in own]
     if held is not None and len(held[0]):
-        yield held
+        yield piece(held, False)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """(doc, hash) of the hashes that more than one document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_hash = None  # a hash whose rows were cut: it has more than enough of them
-        for doc, hash_ in _runs_of(batches, 2):
-            starts = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
-            ends = np.concatenate([starts[1:], [len(hash_)]])
+        cut_hash = None  # a hash of very many rows: it counts as shared
+        for doc, hashes, starts, part in _runs_of(batches):
+            ends = np.concatenate([starts[1:], [len(hashes)]])
             shared = doc[starts] != doc[ends - 1]
-            shared[0] |= hash_[0] == open_hash or len(hash_) >= ROWS_AT_ONCE - 1
-            open_hash = hash_[-1]
+            shared[0] |= part or hashes[0] == cut_hash
+            cut_hash = hashes[0] if part else None
             keep = np.repeat(shared, ends - starts)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(hash_[keep])], names=["doc", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(hashes[keep])], names=["doc", "hash"])
 
     return rows.repartition("hash").sortWithinPartitions("hash", "doc").mapInArrow(run, "doc long, hash long")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Documents with their text compressed, as they go through a shuffle."""
+def _packed(keyed: DataFrame) -> DataFrame:
+    """Documents with their text compressed, as they go through a shuffle; null stays null."""
+    schema = StructType([keyed.schema["doc"], StructField("packed", BinaryType()), keyed.schema["rest"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            packed = [pack((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc", "tie", "packed"])
+            packed = [pack(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else None for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=schema.names)
 
-    return docs.mapInArrow(run, "doc long, tie long, packed binary")
+    return keyed.mapInArrow(run, schema)
 
 
-def _unpacked(value: bytes) -> bytes:
-    return b" ".join(zstandard.ZstdDecompressor().decompress(value).split())
+def _unpacked(value: bytes | None) -> bytes:
+    """The words of a compressed text."""
+    return b" ".join(zstandard.ZstdDecompressor().decompress(value).split()) if value else b""
 
 
 def _windows(with_anchors: DataFrame) -> DataFrame:
-    """(doc, hash, at) of the windows that hold a shared anchor."""
+    """(doc, hash) of the windows that hold a shared anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator:
             for batch in batches:
-                for doc, tie, packed, anchors in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3)):
+                for doc, packed, anchors in zip(batch.column("doc").to_pylist(), batch.column("packed"), batch.column("hashes")):
                     windows = Windows(_unpacked(packed.as_py()))
-                    n = windows.count - WIDTH + 1
-                    places = cover_positions(windows.count)
-                    places = places[places <= windows.count - ANCHOR_WORDS]
+                    places = cover_positions(windows.count - ANCHOR_WORDS + 1)
                     hit = places[np.isin(windows.hashes(ANCHOR_WORDS, places).view(np.int64), anchors.values.to_numpy())]
                     marks = np.zeros(windows.count + 1, np.int32)
                     np.add.at(marks, np.maximum(0, hit - (WIDTH - ANCHOR_WORDS)), 1)
                     np.add.at(marks, hit + 1, -1)
-                    at = np.flatnonzero(np.cumsum(marks)[:n] > 0)
-                    yield doc, windows.hashes(WIDTH, at), at, tie
+                    at = np.flatnonzero(np.cumsum(marks)[: max(0, windows.count - WIDTH + 1)] > 0)
+                    yield doc, np.unique(windows.hashes(WIDTH, at))
 
-        yield from _rows(found(), ["doc", "hash", "at", "tie"])
+        yield from _rows(found())
 
-    return with_anchors.mapInArrow(run, "doc long, hash long, at int, tie long")
+    return with_anchors.mapInArrow(run, "doc long, hash long")
 
 
 def _later(rows: DataFrame) -> DataFrame:
-    """(doc, tie, at) of the windows that a document with a smaller key has too."""
+    """(doc, hash) of the windows that a document with a smaller key has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_hash, open_first = None, 0
-        for doc, hash_, at, tie in _runs_of(batches, 4):
-            starts = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
+        cut_hash, cut_first = None, 0
+        for doc, hashes, starts, part in _runs_of(batches):
             first = doc[starts].copy()
-            if open_hash is not None and hash_[0] == open_hash:
-                first[0] = open_first
-            open_hash, open_first = hash_[-1], first[-1]
+            if hashes[0] == cut_hash:
+                first[0] = cut_first
+            cut_hash, cut_first = (hashes[0], first[0]) if part else (None, 0)
             keep = doc > np.repeat(first, np.diff(np.concatenate([starts, [len(doc)]])))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(tie[keep]), pa.array(at[keep])], names=["doc", "tie", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(hashes[keep])], names=["doc", "hash"])
+
+    return rows.repartition("hash").sortWithinPartitions("hash", "doc").mapInArrow(run, "doc long, hash long")
 
-    return rows.repartition("hash").sortWithinPartitions("hash", "doc").mapInArrow(run, "doc long, tie long, at int")
 
+def _kept(words: bytes, repeated: np.ndarray) -> np.ndarray:
+    """A mask of the words that no window with one of the hashes covers."""
+    windows = Windows(words)
+    marks = np.zeros(windows.count + 1, np.int32)
+    at = np.flatnonzero(np.isin(windows.hashes(WIDTH).view(np.int64), repeated))
+    marks[at] += 1
+    marks[at + WIDTH] -= 1
+    return np.cumsum(marks)[:-1] == 0
 
-def _kept(words: list[bytes], at: np.ndarray) -> tuple[int, np.ndarray]:
-    """How many words the windows at `at` cover, and a mask of the others."""
-    marks = np.zeros(len(words) + 1, np.int32)
-    at = at[at <= len(words) - WIDTH]
-    np.add.at(marks, at, 1)
-    np.add.at(marks, at + WIDTH, -1)
-    keep = np.cumsum(marks)[:-1] == 0
-    return int((~keep).sum()), keep
 
+def marked(keyed: DataFrame) -> DataFrame:
+    """doc, packed text, rest, and `hashes` of the windows in it that a document with a smaller key has too (null: none).
 
-def marked_places(keyed: DataFrame) -> DataFrame:
-    """doc, tie and `at`: numbers of the words at which a window starts that a document with a smaller key has too."""
-    shared = _shared(_anchors(keyed)).groupBy("doc").agg(F.collect_list("hash").alias("hashes"))  # at most a document's own anchors
-    around = _packed(keyed).join(shared, "doc").select("doc", "tie", "packed", "hashes")
-    return _later(_windows(around)).groupBy("doc", "tie").agg(F.collect_set("at").alias("at"))  # at most a document's own words
+    Both joins deal the compressed texts out by the same key, so they go through one shuffle. The lists that are
+    gathered hold at most a document's own anchors or windows.
+    """
+    packed = _packed(keyed)
+    shared = _shared(_anchors(keyed)).groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+    later = _later(_windows(packed.join(shared, "doc")))
+    return packed.join(later.groupBy("doc").agg(F.collect_list("hash").alias("hashes")), "doc", "left")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed, kept_sha256 of every row.
 
     Removed is each word covered by a window of 13 words that also starts in a document with a smaller key. A null
-    text has no words; documents of fewer words than a window keep them all; a null key comes after all others.
+    text has no words; documents of fewer words than a window keep them all; a null key comes after all others. Rows
+    that repeat a key are never repeats of each other.
     """
     schema = docs.select(docs[key].cast(LongType()).alias(key)).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, digests = [], [], []
-            for packed, at in zip(batch.column(1), batch.column(2)):
+            for packed, hashes in zip(batch.column(1), batch.column(2)):
                 words = _unpacked(packed.as_py())
-                n = words.count(b" ") + 1 if words else 0
-                gone = 0
-                if at.is_valid:
-                    parts = words.split()
-                    gone, keep = _kept(parts, at.values.to_numpy())
-                    words = b" ".join([w for w, k in zip(parts, keep.tolist()) if k])
-                counts.append(n)
-                removed.append(gone)
+                counts.append(words.count(b" ") + 1 if words else 0)
+                removed.append(0)
+                if hashes.is_valid:
+                    keep = _kept(words, hashes.values.to_numpy())
+                    removed[-1] = int((~keep).sum())
+                    words = b" ".join([w for w, k in zip(words.split(b" "), keep.tolist()) if k])
                 digests.append(hashlib.sha256(words).hexdigest())
-            ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=schema.names)
 
-    keyed = _keyed(docs, key, text)
-    marked = _packed(keyed).join(marked_places(keyed), ["doc", "tie"], "left")
-    return marked.select(F.when(F.col("doc") != (1 << 63) - 1, F.col("doc")).alias(key), "packed", "at").mapInArrow(run, schema)
+    found = marked(_keyed(docs, key, text, []))
+    return found.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias(key), "packed", "hashes").mapInArrow(run, schema)
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,24 +244,23 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Of the other texts the words that stay are joined by one blank. A null text stays null.
     """
-    columns = docs.columns
-    rest = [c for c in columns if c not in (key, text)]
-    tagged = _keyed(docs, key, text).select("doc", "tie", "text")
-    at = marked_places(tagged)
-    whole = docs.select("*", F.coalesce(docs[key].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(docs[text]).alias("tie"))
-    joined = whole.join(at, ["doc", "tie"], "left").select(key, text, *rest, "at")
-    schema = docs.select(key, text, *rest).schema
+    rest = [c for c in docs.columns if c != text]
+    schema = docs.select(*rest, text).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts = []
-            for value, places in zip(batch.column(1), batch.column(len(columns))):
-                if not places.is_valid or not value.is_valid:
-                    texts.append(value.as_py())
-                    continue
-                parts = value.as_py().encode("utf-8", "surrogatepass").split()
-                _, keep = _kept(parts, places.values.to_numpy())
-                texts.append(b" ".join([w for w, k in zip(parts, keep.tolist()) if k]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2 : len(columns)]], names=schema.names)
-
-    return joined.mapInArrow(run, schema).select(columns)
+            for packed, hashes in zip(batch.column(len(rest)), batch.column(len(rest) + 1)):
+                whole = unpack(packed.as_py()) if packed.is_valid else None
+                if whole is not None and hashes.is_valid:
+                    parts = whole.split()
+                    keep = _kept(b" ".join(parts), hashes.values.to_numpy())
+                    if not keep.all():
+                        whole = b" ".join([w for w, k in zip(parts, keep.tolist()) if k])
+                texts.append(whole.decode("utf-8", "surrogatepass") if whole is not None else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string())], names=schema.names)
+
+    # The other columns travel with the text, so that rows which repeat a key keep what is theirs.
+    found = marked(_keyed(docs, key, text, rest))
+    return found.select(*[F.col("rest")[c].alias(c) for c in rest], "packed", "hashes").mapInArrow(run, schema).select(docs.columns)
