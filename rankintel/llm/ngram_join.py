@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +32,20 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 #: Shingles are ordered by how frequent their bucket is; buckets number 2^ORDER_BITS whatever the input.
 ORDER_BITS = 20
-LEAST_BITS, MOST_BITS = 64, 4_096
+#: Bits of a signature: at least so many, then four for each shingle, at most so many.
+LEAST_BITS, MOST_BITS = 64, 16_384
 CHUNK_NODES = 512
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | bytes | None) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles (A-Z in lower case); of all its words, if they are fewer."""
-    windows = Windows(words_of(text).lower())
+    windows = Windows((text if isinstance(text, bytes) else words_of(text)).lower())
     return np.unique(windows.hashes(min(SHINGLE_WORDS, windows.count))) if windows.count else np.zeros(0, np.uint64)
 
 
 def signature(hashes: np.ndarray) -> bytes:
     """Parity of the number of hashes per bit; wider for larger sets. A wider one folds into a narrower one by xor."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(hashes) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, 4 * len(hashes) - 1).bit_length()))
     counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.intp), minlength=bits)
     return np.packbits(counts.astype(np.uint8) & 1).tobytes()
 
@@ -74,61 +76,120 @@ def _levels(docs: DataFrame) -> np.ndarray:
     return levels
 
 
-def _sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc, n, digest of the set, signature, and the shingles by which it may meet similar sets."""
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc, n, digest of the set, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, signatures, rare = [], [], [], []
-            for text in batch.column(1):
-                hashes = shingles(text.as_py())
-                n.append(len(hashes))
-                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-                if not len(hashes):
-                    signatures.append(b"")
-                    rare.append(hashes.view(np.int64))
-                    continue
-                signatures.append(signature(hashes))
-                size = len(hashes) + 1 - -(-PERCENT * len(hashes) // 100)
-                order = np.lexsort((hashes, levels[_bucket(hashes)]))[:size]
-                rare.append(hashes[order].view(np.int64))
-            columns = [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(rare, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "digest", "signature", "rare"])
-
-    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, digest binary, signature binary, rare array<long>")
+            sets = [shingles(text.as_py()) for text in batch.column(1)]
+            sizes = pa.array([len(h) for h in sets], pa.int32())
+            columns = [batch.column(0), sizes, *(pa.array([f(h) for h in sets], pa.binary()) for f in (_digest, signature))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "digest", "signature"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, digest binary, signature binary")
+
+
+def _rare(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """key, doc, n, set: each document by the shingles by which it must meet similar ones; `set` tells equal sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                keys, docs_, sizes, sets = [], [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    hashes = shingles(text.as_py())
+                    if not len(hashes):
+                        continue
+                    most = len(hashes) + 1 - -(-PERCENT * len(hashes) // 100)
+                    keys.append(hashes[np.lexsort((hashes, levels[_bucket(hashes)]))[:most]].view(np.int64))
+                    docs_.append(doc)
+                    sizes.append(len(hashes))
+                    sets.append(int.from_bytes(_digest(hashes)[:8], "little", signed=True))
+                times = [len(k) for k in keys]
+                columns = [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))]
+                columns += [pa.array(np.repeat(np.array(x, kind), times)) for x, kind in ((docs_, np.int64), (sizes, np.int32), (sets, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "n", "set"])
+
+    return docs.where("doc IS NOT NULL").select("doc", "text").mapInArrow(run, "key long, doc long, n int, set long")
 
 
 def _comparable(small: str, large: str) -> str:
     return f"{small} * 100L >= {large} * {PERCENT}L"
 
 
-def _tiles(nodes: DataFrame) -> DataFrame:
-    """key, doc, n: nodes by shingle, where another node of comparable size has it too."""
-    met = nodes.select("doc", "n", F.explode("rare").alias("key"))
-    order = Window.partitionBy("key").orderBy("n", "doc")
-    beside = met.select("*", F.lag("n").over(order).alias("less"), F.lead("n").over(order).alias("more"))
+def _tiles(rare: DataFrame) -> DataFrame:
+    """key, doc, n: nodes by shingle, where another node of comparable size has it too.
+
+    Equal sets have the same shingles and stand together: the first of them is the node.
+    """
+    order = Window.partitionBy("key").orderBy("n", "set", "doc")
+    nodes = rare.withColumn("last", F.lag("set").over(order)).where("last IS NULL OR last <> set").drop("last")
+    beside = nodes.select("*", F.lag("n").over(order).alias("less"), F.lead("n").over(order).alias("more"))
     return beside.where(f"({_comparable('less', 'n')}) OR ({_comparable('n', 'more')})").select("key", "doc", "n")
 
 
 def _first_pairs(tiles: DataFrame) -> DataFrame:
-    """a < b: each node of a tile with its neighbour in size order and with the first of its size band."""
+    """a < b: each node of a tile with its neighbour in size order, the first of its size band and the oldest of all.
+
+    In a group of near copies the oldest is often the original, which has more in common with each copy than the
+    copies have with each other.
+    """
     band = F.floor(F.log("n") / math.log(100 / PERCENT)).alias("band")
     order = Window.partitionBy("key").orderBy("n", "doc")
     banded = tiles.select("*", band, F.lag("doc").over(order).alias("before"))
     first = F.first("doc").over(Window.partitionBy("key", "band").orderBy("n", "doc").rowsBetween(Window.unboundedPreceding, 0))
-    both = banded.select("doc", "before", first.alias("first")).select("doc", F.explode(F.array("before", "first")).alias("other")).where("doc <> other")
+    oldest = F.min("doc").over(Window.partitionBy("key"))
+    others = F.explode(F.array("before", "first", "oldest"))
+    both = banded.select("doc", "before", first.alias("first"), oldest.alias("oldest")).select("doc", others.alias("other")).where("doc <> other")
     return both.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
+KEPT_BYTES = 6
+
+
 def _arrays(docs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """doc and sorted shingles of the documents that are in a tile."""
+    """doc and sorted shingles (the upper `KEPT_BYTES` bytes of each) of the documents that are in a tile."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            packed = [own(words_of(text.as_py()).lower()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            hashes = [shingles(text.as_py()).tobytes() for text in batch.column(1)]
+            hashes = [shingles(unpack(words.as_py())).view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :].tobytes() for words in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["doc", "hashes"])
 
-    return docs.select("doc", "text").join(tiles.select("doc").distinct(), "doc", "left_semi").mapInArrow(run, "doc long, hashes binary")
+    packed = docs.select("doc", "text").mapInArrow(pack, "doc long, packed binary")
+    return packed.join(tiles.select("doc").distinct(), "doc", "left_semi").mapInArrow(run, "doc long, hashes binary")
+
+
+def _numbers(kept: bytes) -> np.ndarray:
+    own = np.frombuffer(kept, np.uint8).reshape(-1, KEPT_BYTES)
+    return np.pad(own, ((0, 0), (0, 8 - KEPT_BYTES))).view(np.uint64).ravel()
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the size and signature bounds."""
+    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+    right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")]).astype(np.int64)
+            signatures = batch.column("sa").to_pylist() + batch.column("sb").to_pylist()
+            keep = _passing(np.arange(2 * m), n, signatures, np.arange(m), np.arange(m, 2 * m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _similar(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -140,7 +201,7 @@ def _similar(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for one, two in zip(batch.column(2), batch.column(3)):
-                one, two = (np.frombuffer(x.as_py(), np.uint64) for x in (one, two))
+                one, two = _numbers(one.as_py()), _numbers(two.as_py())
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -182,7 +243,7 @@ def _compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _cross_pairs(tiles: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+def _cross_pairs(tiles: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """a < b: pairs of one tile but of different components that pass the bounds."""
     own = F.coalesce("component", "doc").alias("own")
     placed = tiles.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", own)
@@ -191,7 +252,7 @@ def _cross_pairs(tiles: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFr
     # Members of a component stand together, so that the chunks of a large one have nothing to compare among themselves.
     number = F.row_number().over(Window.partitionBy("key").orderBy("own", "n", "doc"))
     chunked = open_.withColumn("chunk", F.floor((number - 1) / CHUNK_NODES))
-    chunked = stored(chunked.join(nodes.select("doc", "signature"), "doc"), "chunks")
+    chunked = stored(chunked.join(sets.select("doc", "n", "signature"), ["doc", "n"]), "chunks")
     spans = chunked.groupBy("key", "chunk").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("own").alias("o0"), F.max("own").alias("o1"))
     left, right = (spans.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("chunk", "n0", "n1", "o0", "o1")]) for s in ("_l", "_r"))
     met = left.join(right, "key").where("chunk_l <= chunk_r").where(f"({_comparable('n0_l', 'n1_r')} OR n0_l <= n1_r) AND ({_comparable('n1_l', 'n0_r')} OR n1_l >= n0_r)")
@@ -239,14 +300,13 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     that links wherever one of them links. A null key takes no part in links, and its component is null.
     """
     picked = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("text"))
-    sets = stored(_sets(picked, _levels(picked)), "sets")
+    sets = stored(_sets(picked), "sets")
     linked = sets.where("n > 0 AND doc IS NOT NULL")
     first = linked.groupBy("digest").agg(F.min("doc").alias("rep"))
-    nodes = linked.join(first.select(F.col("rep").alias("doc"), "digest"), ["doc", "digest"], "left_semi").dropDuplicates(["doc", "digest"])
-    tiles = stored(_tiles(nodes), "tiles")
+    tiles = stored(_tiles(_rare(picked, _levels(picked))), "tiles")
     arrays = stored(_arrays(picked, tiles), "arrays")
-    links = stored(_similar(_first_pairs(tiles), arrays), "pairs")
-    more = _similar(_cross_pairs(tiles, components(links), nodes), arrays)
+    links = stored(_similar(_likely(_first_pairs(tiles), linked), arrays), "pairs")
+    more = _similar(_cross_pairs(tiles, components(links), linked), arrays)
     # Rows of one key with different texts join their nodes: the key's own node is another name for each.
     same = linked.join(first, "digest").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     several = linked.select("doc", "digest").distinct().groupBy("doc").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc").alias("a"))
