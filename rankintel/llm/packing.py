@@ -33,7 +33,7 @@ CAPACITY = 4096
 END_ID = 1
 RANK_GROUPS = 256
 #: Branches that the search may open before it settles for its incumbent.
-SEARCH_NODES = 2_000
+SEARCH_NODES = 24
 CACHE_UNITS = 1_000_000
 
 PIECES = "piece integer, start long, length long, ids_crc32 long"
