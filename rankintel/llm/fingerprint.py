@@ -153,7 +153,8 @@ def _runs(docs: DataFrame, run_rows: int, most_runs: int) -> DataFrame:
     heads = [(r["first"]["__key"], r["first"]["__tie"], first[i - 1]["__run"]) for i, r in enumerate(first)]
     schema = T.StructType([docs.schema["__key"], docs.schema["__tie"], T.StructField("__before", T.IntegerType())])
     heads = docs.sparkSession.createDataFrame(heads, schema).withColumnRenamed("__key", "__k").withColumnRenamed("__tie", "__t")
-    met = placed.join(heads, placed["__key"].eqNullSafe(heads["__k"]) & (placed["__tie"] == heads["__t"]), "left")
+    # One row per run, at most `most_runs`: small at any size of the input, and the texts stay where they are.
+    met = placed.join(F.broadcast(heads), placed["__key"].eqNullSafe(heads["__k"]) & (placed["__tie"] == heads["__t"]), "left")
     own = F.struct(F.col("__run").alias("run"), F.lit(False).alias("tail"))
     tail = F.struct(F.col("__before").alias("run"), F.lit(True).alias("tail"))
     at = F.explode(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, tail)))
