@@ -66,7 +66,7 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         ids = self._known_words.get(word)
         if ids is None:
-            letters = word if word.isascii() else word.translate(self._letters)
+            letters = word if word.isascii() and word.isprintable() else word.translate(self._letters)
             ids = self._known_words[word] = array("I", [token.id for token in self._model(letters)]).tobytes()
         return ids
 
