@@ -64,11 +64,15 @@ def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
 
 
 def similar_queries(stored: DataFrame, query: str, limit: int = SIMILAR_QUERIES, column: str = "query") -> DataFrame:
-    """Up to five stored queries that contain the first word of `query`, ignoring case; % and _ are wildcards."""
-    word = query.split()[0]
+    """Up to five stored queries that contain the first word of `query`, ignoring case; % and _ are wildcards.
+
+    A blank query is similar to none.
+    """
+    words = query.split()
+    found = F.col("query").ilike(f"%{words[0]}%") if words else F.lit(False)
     return (
         stored.select(F.col(column).alias("query"))
-        .where(F.col("query").ilike(f"%{word}%"))
+        .where(found)
         .distinct()
         .orderBy("query")
         .limit(limit)

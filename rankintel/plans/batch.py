@@ -58,8 +58,8 @@ class RunOptions:
     skip_classify: bool = False
     skip_delta: bool = False
     pages_limit: int | None = None
-    classify_limit: int | None = 50
-    listings_limit: int | None = 50
+    classify_limit: int | None = None
+    listings_limit: int | None = None
     shop_domain: str = MARKETPLACE_DOMAIN
 
 
@@ -150,11 +150,15 @@ def run_batch(
     Both lie on shared storage. keyword_products and shop_products are the first result of `read_keywords`.
 
     Each table is written once and read back before a later step uses it, so no step repeats another's work.
-    Repeating a call with the same arguments rewrites the same version and appends nothing twice.
+    Repeating a call with the same arguments rewrites the same version and appends nothing twice. A version that is
+    read is never written over: tables_out must not be the root of a folder in `folders`.
     """
     opt = options or RunOptions()
     now = moment(run_at)
     places = dict(folders or {})
+    clash = sorted(name for name, place in places.items() if place.rstrip("/") == folder_of(tables_out, name))
+    if clash:
+        raise ValueError(f"tables_out holds the tables that are read: {', '.join(clash)}")
     tables = {name: read_table(spark, places.get(name), name) for name in KEYED_TABLES}
     tables |= {name: read_table(spark, folder_of(appended, name), name) for name in APPENDED_TABLES}
 

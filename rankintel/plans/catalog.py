@@ -524,9 +524,11 @@ def run_summary(b: Bound) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """A new folder below the cluster's shared checkpoint folder; a temporary one only on a local session without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix="rankintel-")
     return f"{shared.rstrip('/')}/rankintel-{datetime.now():%Y%m%d%H%M%S%f}"
 

@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from rankintel.operators.results import similar_queries
 from rankintel.plans.batch import Corpora, RunOptions, latest_digest, run_batch
 from rankintel.sources.keywords import read_keywords
 from rankintel.sources.tables import load_tables
@@ -128,3 +129,15 @@ def test_tables_load_as_views(spark, outcome):
     tables = load_tables(spark, str(outcome[5] / "appended"), views=True)
     assert spark.sql("SELECT count(*) FROM serp_snapshots").first()[0] == 3
     assert tables["shop_listings"].count() == 0
+
+
+def test_a_version_that_is_read_is_never_written_over(spark, tmp_path):
+    folders = {"competitors": f"{tmp_path}/v1/competitors"}
+    with pytest.raises(ValueError, match="competitors"):
+        run_batch(spark, None, None, folders, f"{tmp_path}/v1", f"{tmp_path}/appended", datetime(2024, 1, 1))
+
+
+def test_a_blank_query_is_similar_to_none(spark):
+    stored = spark.createDataFrame([("gold ring",)], "query string")
+    assert similar_queries(stored, "  ").count() == 0
+    assert similar_queries(stored, "Gold x").count() == 1
