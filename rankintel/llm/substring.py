@@ -236,7 +236,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=schema.names)
 
     found = marked(_keyed(docs, key, text, []))
-    return found.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias(key), "packed", "hashes").mapInArrow(run, schema)
+    # `rest` stays, unused: a plan that drops it here would not share the shuffle of the texts.
+    return found.select(F.when(F.col("doc") != NO_KEY, F.col("doc")).alias(key), "packed", "hashes", "rest").mapInArrow(run, schema)
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
