@@ -133,6 +133,20 @@ def _tiles(rare: DataFrame) -> DataFrame:
     return beside.where(f"({_comparable('less', 'n')}) OR ({_comparable('n', 'more')})").select("key", "doc", "n")
 
 
+def _different(tiles: DataFrame) -> DataFrame:
+    """The tiles without those that hold the same nodes as another one.
+
+    Near copies share many rare shingles, each with a tile of the same nodes, and one of these is enough. Node sets are
+    told apart by four sums of hashes (128 bits), their number and their smallest and largest member.
+    """
+    hashes = [F.xxhash64("doc", "n"), F.xxhash64("n", "doc", F.lit(1))]
+    halves = [half for h in hashes for half in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    sums = [F.sum(half).alias(f"s{i}") for i, half in enumerate(halves)]
+    members = tiles.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("low"), F.max("doc").alias("high"), *sums)
+    one = members.groupBy([c for c in members.columns if c != "key"]).agg(F.min("key").alias("key")).select("key")
+    return tiles.join(one, "key", "left_semi")
+
+
 def _first_pairs(tiles: DataFrame) -> DataFrame:
     """a < b: each node of a tile with its neighbour in size order, the first of its size band and the oldest of all.
 
@@ -152,8 +166,8 @@ def _first_pairs(tiles: DataFrame) -> DataFrame:
 KEPT_BYTES = 6
 
 
-def _arrays(docs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """doc and sorted shingles (the upper `KEPT_BYTES` bytes of each) of the documents that are in a tile."""
+def _arrays(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc and sorted shingles (the upper `KEPT_BYTES` bytes of each) of the documents that are in a pair (a, b)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = zstandard.ZstdCompressor(3).compress
@@ -168,7 +182,8 @@ def _arrays(docs: DataFrame, tiles: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["doc", "hashes"])
 
     packed = docs.select("doc", "text").mapInArrow(pack, "doc long, packed binary")
-    return packed.join(tiles.select("doc").distinct(), "doc", "left_semi").mapInArrow(run, "doc long, hashes binary")
+    wanted = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "paired")
+    return stored(packed.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, hashes binary"), "arrays")
 
 
 def _numbers(kept: bytes) -> np.ndarray:
@@ -247,7 +262,9 @@ def _cross_pairs(tiles: DataFrame, found: DataFrame, sets: DataFrame) -> DataFra
     """a < b: pairs of one tile but of different components that pass the bounds."""
     own = F.coalesce("component", "doc").alias("own")
     placed = tiles.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", own)
-    mixed = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key")
+    # The only pair of a tile of two is one of neighbours, which has been checked.
+    members = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("own").alias("low"), F.max("own").alias("high"))
+    mixed = members.where("size > 2 AND low < high").select("key")
     open_ = placed.join(mixed, "key", "left_semi")
     # Members of a component stand together, so that the chunks of a large one have nothing to compare among themselves.
     number = F.row_number().over(Window.partitionBy("key").orderBy("own", "n", "doc"))
@@ -303,10 +320,14 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     sets = stored(_sets(picked), "sets")
     linked = sets.where("n > 0 AND doc IS NOT NULL")
     first = linked.groupBy("digest").agg(F.min("doc").alias("rep"))
-    tiles = stored(_tiles(_rare(picked, _levels(picked))), "tiles")
-    arrays = stored(_arrays(picked, tiles), "arrays")
-    links = stored(_similar(_likely(_first_pairs(tiles), linked), arrays), "pairs")
-    more = _similar(_cross_pairs(tiles, components(links), linked), arrays)
+    tiles = stored(_different(stored(_tiles(_rare(picked, _levels(picked))), "all-tiles")), "tiles")
+
+    def similar(likely: DataFrame) -> DataFrame:
+        pairs = stored(likely, "likely")
+        return stored(_similar(pairs, _arrays(picked, pairs)), "pairs")
+
+    links = similar(_likely(stored(_first_pairs(tiles), "first"), linked))
+    more = similar(_cross_pairs(tiles, components(links), linked))
     # Rows of one key with different texts join their nodes: the key's own node is another name for each.
     same = linked.join(first, "digest").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     several = linked.select("doc", "digest").distinct().groupBy("doc").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc").alias("a"))
