@@ -72,7 +72,7 @@ def competitor_intel(
     ranked = _ranked(serp.select("query", "position", "url", F.col("title").alias("_title")), keywords, limit, per_query)
     labels = classes.select("url", *_label_columns(classes))
     joined = attach(ranked, [pages.select("url", "page_title"), labels], bound=_bound(limit, per_query))
-    return joined.select(
+    shown = joined.select(
         "query",
         "position",
         "url",
@@ -84,6 +84,7 @@ def competitor_intel(
         F.substring(F.coalesce("evidence", F.lit("")), 1, EVIDENCE_CHARS).alias("evidence"),
         or_else(F.col("confidence"), UNKNOWN).alias("confidence"),
     )
+    return shown if limit is None or per_query else shown.orderBy("query", "position")
 
 
 def _label_columns(classes: DataFrame) -> list[Column]:

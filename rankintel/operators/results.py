@@ -44,7 +44,7 @@ def list_serp_results(
     labels = classes.select("url", "metal_type", "karat", _optional(classes, "confidence"))
     joined = attach(page, [labels], bound=_bound(query, limit)).join(_totals(serp, query), "query")
     last = F.lit(None) if limit is None else F.lit(offset + limit)
-    return joined.select(
+    shown = joined.select(
         "query",
         "position",
         "url",
@@ -57,6 +57,7 @@ def list_serp_results(
         "total",
         F.coalesce(F.col("total") > last, F.lit(False)).alias("has_more"),
     )
+    return shown if query is None else shown.orderBy("position")
 
 
 def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -119,7 +120,7 @@ def list_marketplace_results(serp: DataFrame, listings: DataFrame, query=None, l
     page = _page_of(serp, query, limit)
     labels = listings.select("url", "metal_type", "karat", "confidence")
     joined = attach(page, [labels], bound=_bound(query, limit)).join(_totals(serp, query), "query")
-    return joined.select(
+    shown = joined.select(
         "query",
         "position",
         "url",
@@ -134,6 +135,7 @@ def list_marketplace_results(serp: DataFrame, listings: DataFrame, query=None, l
         F.coalesce("confidence", F.lit("")).alias("confidence"),
         "total",
     )
+    return shown if query is None else shown.orderBy("position")
 
 
 def marketplace_intel(serp: DataFrame, listings: DataFrame, query=None, limit: int | None = 20) -> DataFrame:

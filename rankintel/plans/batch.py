@@ -31,7 +31,7 @@ from rankintel.operators.upsert import last_per_key, touch_last_scraped, upsert_
 from rankintel.schemas import APPENDED_TABLES, KEYED_TABLES
 from rankintel.sources.keywords import distinct_queries
 from rankintel.sources.pages import fetched, stored_pages
-from rankintel.sources.tables import append_history, folder_of, moment, read_table, write_keyed, write_staged
+from rankintel.sources.tables import append_history, before_run, folder_of, moment, read_table, write_keyed, write_staged
 
 
 @dataclass
@@ -85,6 +85,17 @@ def _onto(selected: DataFrame, reduced: DataFrame) -> DataFrame:
     return selected.select("url").join(newest, "url", "left")
 
 
+def newest_fetch(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows that come from the newest fetch of their query.
+
+    A query's pages may have been fetched several times, and results of different fetches are never mixed. The newest
+    stamp comes from a scan of two columns and meets the narrow rows; html is not joined. A query without any stamp
+    keeps its rows.
+    """
+    newest = pages.groupBy("query").agg(F.max("fetched_at").alias("_newest"))
+    return rows.join(newest, "query").where(F.col("fetched_at").eqNullSafe(F.col("_newest"))).drop("_newest")
+
+
 def product_labels(selected: DataFrame, corpus: DataFrame, options: RunOptions) -> DataFrame:
     """Labels of the selected urls; one without a fetched page gets the fallback labels."""
     pages = _pages_of(selected, corpus, options.classify_limit).withColumn("html_chars", F.length("html"))
@@ -127,7 +138,7 @@ def latest_digest(tables: dict[str, DataFrame]) -> DataFrame | None:
     return digest_rows(
         entrants(now, then),
         dropouts(now, then),
-        price_moves(tables["competitor_products"], tables["product_snapshots"], current, previous),
+        price_moves(tables["competitor_products"], tables["product_snapshots"], current, previous, mode="latest"),
         position_shifts(heads, current, previous),
     )
 
@@ -150,7 +161,7 @@ def run_batch(
     Both lie on shared storage. keyword_products and shop_products are the first result of `read_keywords`.
 
     Each table is written once and read back before a later step uses it, so no step repeats another's work.
-    Repeating a call with the same arguments rewrites the same version and appends nothing twice. A version that is
+    Repeating a call rewrites the same version and replaces the rows that the run has appended. A version that is
     read is never written over: tables_out must not be the root of a folder in `folders`.
     """
     opt = options or RunOptions()
@@ -179,7 +190,7 @@ def run_batch(
     registry = tables["competitor_products"]
     if corpora.serp is not None and not opt.skip_serp:
         wanted = only_keywords(corpora.serp, distinct_queries(keyword_products).select("query"))
-        links = last_per_key(ranked_links(wanted), ["query", "position"], ["fetched_at"])
+        links = last_per_key(newest_fetch(wanted, ranked_links(wanted)), ["query", "position"], ["fetched_at", "url"])
         found = links.drop("fetched_at").withColumn("scraped_at", now)
         keep("serp_results", upsert_replace(tables["serp_results"], found, ["query", "position"], ["scraped_at"]))
         fresh = of_run(tables["serp_results"])
@@ -194,7 +205,8 @@ def run_batch(
 
     # Stored pages.
     if corpora.products is not None and not opt.skip_pages:
-        missing = select_uncrawled(tables["serp_results"], tables["product_pages"], opt.pages_limit)
+        crawled = before_run(tables["product_pages"], run_at)
+        missing = select_uncrawled(tables["serp_results"], crawled, opt.pages_limit)
         arrived = _pages_of(missing, corpora.products, opt.pages_limit).join(missing, "url", "left_semi")
         append("product_pages", stored_pages(arrived, now))
 
@@ -211,7 +223,8 @@ def run_batch(
     if registry is not tables["competitor_products"]:
         keep("competitor_products", registry)
     if not opt.skip_delta:
-        append("deltas", detect_deltas(tables["classifications"], tables["deltas"], now), "detected_at")
+        logged = before_run(tables["deltas"], run_at, "detected_at")
+        append("deltas", detect_deltas(tables["classifications"], logged, now), "detected_at")
 
     # Marketplace results and listings.
     if corpora.shop is not None:
@@ -219,7 +232,8 @@ def run_batch(
         if shop_products is not None:
             wanted = only_keywords(wanted, distinct_queries(shop_products).select("query"))
         ranked = marketplace_results(wanted, domain=opt.shop_domain)
-        last = last_per_key(ranked, ["query", "position"], ["fetched_at", "seq"]).drop("fetched_at", "seq")
+        ranked = newest_fetch(wanted, ranked)
+        last = last_per_key(ranked, ["query", "position"], ["fetched_at", "seq", "url"]).drop("fetched_at", "seq")
         found = last.withColumn("scraped_at", now)
         keep("shop_serp_results", upsert_replace(tables["shop_serp_results"], found, ["query", "position"], ["scraped_at"]))
     if corpora.listings is not None:

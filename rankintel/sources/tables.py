@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from rankintel import schemas
 
 
+#: Partition column of growing tables: the run that wrote the rows.
+RUN = "_run"
+
+
 def moment(run_at: datetime) -> Column:
     """A run's time as a timestamp literal in the session's time zone."""
     return F.lit(run_at.isoformat(sep=" ")).cast("timestamp")
@@ -29,7 +33,7 @@ def read_table(spark: SparkSession, folder: str | None, name: str) -> DataFrame:
     schema = schemas.ddl(schemas.TABLES[name])
     if folder is not None:
         try:
-            return spark.read.schema(schema).parquet(folder)
+            return spark.read.schema(schema).parquet(folder).select(*schemas.TABLES[name])
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -63,17 +67,23 @@ def write_staged(df: DataFrame, root: str, name: str) -> DataFrame:
 
 
 def append_history(df: DataFrame, root: str, name: str, stamp: str = "scraped_at", run_at: datetime | None = None) -> DataFrame:
-    """Append rows to a growing table, partitioned by run date; returns the whole table.
+    """Append rows to a growing table, partitioned by run date and run; returns the whole table.
 
-    With `run_at` the append is repeatable: rows already stamped with that time mean the run got this far
-    before, and nothing is written twice.
+    With `run_at` the rows are the run's partition, and a repeated run replaces it: what a run that broke off has left
+    there, or what it made of other input, does not stay. Partitions of other runs are never touched. A repeat without
+    any row replaces nothing. `df` must not depend on the run's own earlier rows; see `before_run`.
     """
-    spark = df.sparkSession
-    if run_at is not None:
-        stamped = moment(run_at)
-        written = read_table(spark, folder_of(root, name), name).where((F.col("run_date") == F.to_date(stamped)) & (F.col(stamp) == stamped))
-        if written.head(1):
-            return read_table(spark, folder_of(root, name), name)
+    spark, folder = df.sparkSession, folder_of(root, name)
     dated = df if "run_date" in df.columns else df.withColumn("run_date", F.to_date(stamp))
-    _shaped(dated, name).write.mode("append").partitionBy("run_date").parquet(folder_of(root, name))
-    return read_table(spark, folder_of(root, name), name)
+    run = "appended" if run_at is None else run_at.strftime("%Y%m%dT%H%M%S.%f")
+    writer = _shaped(dated, name).withColumn(RUN, F.lit(run)).write.partitionBy("run_date", RUN)
+    if run_at is None:
+        writer.mode("append").parquet(folder)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+    return read_table(spark, folder, name)
+
+
+def before_run(history: DataFrame, run_at: datetime, stamp: str = "scraped_at") -> DataFrame:
+    """The rows of a growing table that are not this run's, so that a repeated run sees what the first one saw."""
+    return history.where(~F.col(stamp).eqNullSafe(moment(run_at)))

@@ -4,10 +4,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rankintel.operators.results import similar_queries
-from rankintel.plans.batch import Corpora, RunOptions, latest_digest, run_batch
+from rankintel.operators.results import list_serp_results, similar_queries
+from rankintel.plans.batch import Corpora, RunOptions, latest_digest, newest_fetch, run_batch
 from rankintel.sources.keywords import read_keywords
-from rankintel.sources.tables import load_tables
+from rankintel.sources.tables import append_history, before_run, load_tables, moment, read_table
 
 FETCHED = datetime(2024, 1, 1)
 SHOP = "https://www.etsy.com/listing"
@@ -141,3 +141,39 @@ def test_a_blank_query_is_similar_to_none(spark):
     stored = spark.createDataFrame([("gold ring",)], "query string")
     assert similar_queries(stored, "  ").count() == 0
     assert similar_queries(stored, "Gold x").count() == 1
+
+
+def test_a_repeated_append_replaces_what_the_run_left(spark, tmp_path):
+    at, other = datetime(2024, 1, 7, 10), datetime(2024, 1, 7, 11)
+
+    def rows(run, *values):
+        shape = "url string, field string, old_value string, new_value string"
+        return spark.createDataFrame([("u", "f", None, v) for v in values], shape).withColumn("detected_at", moment(run))
+
+    def append(run, *values):
+        table = append_history(rows(run, *values), str(tmp_path), "deltas", "detected_at", run)
+        return sorted(r.new_value for r in table.collect())
+
+    append(at, "a", "b", "c")
+    assert append(other, "x") == ["a", "b", "c", "x"]
+    assert append(at, "a", "b", "d", "e") == ["a", "b", "d", "e", "x"]
+    history = read_table(spark, f"{tmp_path}/deltas", "deltas")
+    assert [r.new_value for r in before_run(history, at, "detected_at").collect()] == ["x"]
+
+
+def test_fetches_of_a_query_are_not_mixed(spark):
+    shape = "query string, fetched_at string"
+    fetched = spark.createDataFrame([("q", "2024-01-01"), ("q", "2024-01-02"), ("r", None), ("s", "2024-01-01"), ("s", "2024-01-03")], shape)
+    links = spark.createDataFrame([("q", "2024-01-01", "old"), ("q", "2024-01-02", "new"), ("r", None, "only"), ("s", "2024-01-01", "gone")], shape + ", url string")
+    assert sorted(r.url for r in newest_fetch(fetched, links).collect()) == ["new", "only"]
+
+
+def test_a_page_of_results_comes_in_order(spark):
+    serp = spark.createDataFrame([("q", i, f"u{i}", None) for i in range(1, 41)], "query string, position int, url string, title string").repartition(7)
+    classes = spark.createDataFrame([(f"u{i}", "gold", "14k") for i in range(1, 41, 3)], "url string, metal_type string, karat string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        page = list_serp_results(serp, classes, "q", 15, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.position for r in page] == list(range(6, 21))
