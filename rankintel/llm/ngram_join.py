@@ -327,11 +327,12 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         return stored(_similar(pairs, _arrays(picked, pairs)), "pairs")
 
     links = similar(_likely(stored(_first_pairs(tiles), "first"), linked))
-    more = similar(_cross_pairs(tiles, components(links), linked))
+    stars = components(links)
+    more = similar(_cross_pairs(tiles, stars, linked))
     # Rows of one key with different texts join their nodes: the key's own node is another name for each.
     same = linked.join(first, "digest").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     several = linked.select("doc", "digest").distinct().groupBy("doc").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc").alias("a"))
-    found = components(links.union(more).union(same.join(several, "a", "left_semi")))
+    found = components(stars.union(more).union(same.join(several, "a", "left_semi")), *stars.columns)
 
     named = sets.select("doc", "n", "digest").join(first, "digest", "left")
     named = named.select("doc", "n", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("rep")).alias("node"))
