@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankintel.functions.text import or_else
-from rankintel.operators.lookup import BOUNDED_ROWS, attach, top_per_group
+from rankintel.operators.lookup import attach, top_per_group
 from rankintel.operators.upsert import last_per_key
 
 # Default limits and how far down competitor domains are listed.
@@ -19,10 +19,11 @@ TOP_POSITION = 5
 def delta_changes(
     deltas: DataFrame, pages: DataFrame, limit: int | None = CHANGES, order: Sequence[str] = ("detected_at", "url", "field")
 ) -> DataFrame:
-    """Newest change rows with their page title."""
+    """Newest change rows with their page title; newest first if limited."""
     newest = deltas if limit is None else deltas.orderBy(*[F.desc(c) for c in order]).limit(limit)
     titled = attach(newest, [pages.select("url", "page_title")], bound=limit)
-    return titled.select(
+    ordered = titled if limit is None else titled.orderBy(*[F.desc(c) for c in order])
+    return ordered.select(
         "url", F.coalesce("page_title", F.lit("")).alias("page_title"), "field", "old_value", "new_value", "detected_at"
     )
 
@@ -45,20 +46,21 @@ def serp_history(
     """Newest snapshots with our position, totals and the foreign domains among the first positions.
 
     top_domains holds at most `top` entries, positions being unique within a snapshot. Snapshots without
-    any stay, with an empty list.
+    any stay, with an empty list. Newest first if one query is asked for.
     """
     newest = _newest_snapshots(snapshots, query, limit, query_col)
     near = results.where(~F.col("is_ours") & (F.col("position") <= top) & F.col("domain").isNotNull())
-    if query is not None and limit is not None and limit <= BOUNDED_ROWS:
-        near = near.join(F.broadcast(newest.select("snapshot_id")), "snapshot_id", "left_semi")
+    if query is not None:
+        near = near.join(newest.select("snapshot_id"), "snapshot_id", "left_semi")
     domains = near.groupBy("snapshot_id").agg(
         F.sort_array(F.collect_list(F.struct("position", "domain"))).alias("top_domains")
     )
     our_url = F.col("our_url") if "our_url" in snapshots.columns else F.lit(None).cast("string").alias("our_url")
-    return newest.join(domains, "snapshot_id", "left").select(
+    shown = newest.join(domains, "snapshot_id", "left").select(
         "query", "snapshot_id", "scraped_at", our_url, "our_position", "total_results",
         F.coalesce("top_domains", F.array().cast("array<struct<position:int,domain:string>>")).alias("top_domains"),
     )
+    return shown if query is None else shown.orderBy(F.desc("scraped_at"), F.desc("snapshot_id"))
 
 
 def position_trend(snapshots: DataFrame, query=None, limit: int | None = SNAPSHOTS, query_col: str = "query") -> DataFrame:

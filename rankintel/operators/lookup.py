@@ -28,7 +28,7 @@ def attach(rows: DataFrame, facts: Sequence[DataFrame], key: str = "url", bound:
     join that adaptive execution can split when one url fills much of them; two joins in a row on the same
     key would share one shuffle and could not be split.
     bound=n (the caller limited `rows` to n): the facts are cut down to the rows' keys by a broadcast semi
-    join, so the big tables are scanned but never shuffled.
+    join, so the big tables are scanned but never shuffled. The rows are the same either way.
     """
     if bound is not None and bound <= BOUNDED_ROWS:
         wanted = F.broadcast(rows.select(key).distinct())

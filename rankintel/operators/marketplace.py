@@ -97,8 +97,8 @@ def structured_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column
     return F.transform(F.filter(F.transform(F.transform(items, opened), parts), wanted), reading)
 
 
-def attribute_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column:
-    """Listings read from listing-id attributes and the markup around their first occurrence.
+def attribute_results(html: Column, domain: str = MARKETPLACE_DOMAIN, top: int | None = None) -> Column:
+    """The first `top` listings read from listing-id attributes and the markup around their first occurrence.
 
     The page is split at the attribute once and the markup around an occurrence put together from short ends of
     the pieces, so the work grows with the page and not with page times listings. One transform per step, so
@@ -166,6 +166,8 @@ def attribute_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column:
 
     def windows(p: Column) -> Column:
         ids = F.filter(F.array_distinct(p["all"]), lambda i: i != "")
+        # Cut first: each listing left is looked up among all marks of the page.
+        ids = ids if top is None else F.slice(ids, 1, top)
         return F.transform(F.transform(ids, lambda i: near(p, i)), lambda x: surroundings(p, x))
 
     return F.transform(F.transform(F.flatten(F.transform(keyed, windows)), link), reading)
@@ -174,15 +176,21 @@ def attribute_results(html: Column, domain: str = MARKETPLACE_DOMAIN) -> Column:
 def _first_per_listing(df: DataFrame, results: str) -> DataFrame:
     """Reduce an array column to the first result per listing id (or url without one), keeping page order.
 
-    The keys are a column of their own: inside the filter they must be looked up, not computed again.
+    Keys are sorted with their places and compared with their neighbours, so the work is that of a sort. Arrays stand
+    in an array of one where a lambda reads them, so that they are computed once.
     """
 
-    def key(result: Column) -> Column:
-        return F.coalesce(result["listing_id"], result["url"])
+    def keyed(result: Column, at: Column) -> Column:
+        return F.struct(F.coalesce(result["listing_id"], result["url"]).alias("key"), at.alias("at"))
 
-    keyed = df.withColumn("_keys", F.transform(results, key))
-    first = F.filter(results, lambda r, i: F.array_position("_keys", key(r)) == i + 1)
-    return keyed.withColumn(results, first).drop("_keys")
+    def firsts(keys: Column) -> Column:
+        return F.filter(keys, lambda k, i: k["key"].isNotNull() & ~k["key"].eqNullSafe(F.get(keys, i - 1)["key"]))
+
+    def reduced(all_: Column) -> Column:
+        kept = F.flatten(F.transform(F.array(F.sort_array(F.transform(all_, keyed))), firsts))
+        return F.transform(F.sort_array(F.transform(kept, lambda k: k["at"])), lambda at: F.get(all_, at))
+
+    return df.withColumn(results, F.flatten(F.transform(F.array(results), reduced)))
 
 
 def fix_zero_positions(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -208,7 +216,7 @@ def marketplace_results(
         "query",
         *kept,
         F.when(F.size("_named") > 0, F.col("_named"))
-        .otherwise(attribute_results(F.col("_html"), domain).cast(RESULT_TYPE))
+        .otherwise(attribute_results(F.col("_html"), domain, top).cast(RESULT_TYPE))
         .alias("_results"),
     )
     rows = chosen.select("query", *kept, F.posexplode(F.slice("_results", 1, top)).alias("_pos", "_r"))

@@ -139,17 +139,21 @@ def list_marketplace_results(serp: DataFrame, listings: DataFrame, query=None, l
 
 
 def marketplace_intel(serp: DataFrame, listings: DataFrame, query=None, limit: int | None = 20) -> DataFrame:
-    """Ranked marketplace results; the listing's title, price and shop win over the result's where given."""
+    """Ranked marketplace results; the listing's title, price and shop win over the result's where given.
+
+    In order of position if one query is asked for.
+    """
+    none = F.array().cast("array<string>")
     page = _page_of(serp, query, limit).select(
         "query", "position", "url", "reviews", "star_seller",
         F.col("title").alias("_title"), F.col("price_usd").alias("_price"), F.col("shop").alias("_shop"),
     )
     facts = listings.select(
-        "url", "title", "price_usd", "shop", "materials", "tags", "favorites", "metal_type", "karat", "confidence"
+        "url", "title", "price_usd", "shop", "materials", F.slice(F.coalesce("tags", none), 1, SHOWN_TAGS).alias("tags"),
+        "favorites", "metal_type", "karat", "confidence",
     )
     joined = attach(page, [facts], bound=_bound(query, limit))
-    none = F.array().cast("array<string>")
-    return joined.select(
+    shown = joined.select(
         "query",
         "position",
         "url",
@@ -163,8 +167,9 @@ def marketplace_intel(serp: DataFrame, listings: DataFrame, query=None, limit: i
         F.coalesce("karat", F.lit("")).alias("karat"),
         F.coalesce("confidence", F.lit("")).alias("confidence"),
         F.coalesce("materials", none).alias("materials"),
-        F.slice(F.coalesce("tags", none), 1, SHOWN_TAGS).alias("tags"),
+        F.coalesce("tags", none).alias("tags"),
     )
+    return shown if query is None else shown.orderBy("position", "url")
 
 
 def marketplace_metal_summary(intel: DataFrame) -> DataFrame:

@@ -113,15 +113,16 @@ def price_moves(
     current: date,
     previous: date,
     pct: float = PRICE_CHANGE,
-    mode: str = "all",
+    mode: str = "latest",
     key: str = "url",
     order: Sequence[str] = ("scraped_at",),
 ) -> DataFrame:
     """Products whose positive price moved by more than `pct`: url, old_price, new_price, pct, n_pairs.
 
-    mode="all" compares every price a product showed on one day with every one it showed on the other;
-    equal prices are counted before the join, so copies cost one row and n_pairs tells how many snapshot
-    pairs a row stands for. mode="latest" compares the last priced snapshot of each day: one row per product.
+    mode="latest" compares the last priced snapshot of each day: one row per product. mode="all" compares every
+    price a product showed on one day with every one it showed on the other, so its output grows with the square of
+    a product's price levels; equal prices are counted before the join, so copies cost one row and n_pairs tells how
+    many snapshot pairs a row stands for.
     """
     priced = with_run_date(snapshots).where(F.col("price_usd") > 0)
 
@@ -144,13 +145,11 @@ def price_moves(
 
 
 def _run_calendar(snapshots: DataFrame) -> DataFrame:
-    """run_date, prev_run, next_run; one row per calendar day with a run, so a single task and a broadcast are safe."""
+    """run_date, prev_run, next_run; one row per calendar day with a run, so a single task is safe."""
     by_date = Window.orderBy("run_date")
     runs = with_run_date(snapshots).select("run_date").distinct()
-    return F.broadcast(
-        runs.select(
-            "run_date", F.lag("run_date").over(by_date).alias("_prev_run"), F.lead("run_date").over(by_date).alias("_next_run")
-        )
+    return runs.select(
+        "run_date", F.lag("run_date").over(by_date).alias("_prev_run"), F.lead("run_date").over(by_date).alias("_next_run")
     )
 
 

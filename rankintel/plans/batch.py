@@ -13,7 +13,7 @@ from rankintel.operators.classify import Classifier, classification_row, label_p
 from rankintel.operators.deltas import detect_deltas, snapshot_change_flags
 from rankintel.operators.digest import digest_rows
 from rankintel.operators.listing import classification_text, listing_metadata, listing_row
-from rankintel.operators.lookup import BOUNDED_ROWS, only_keywords
+from rankintel.operators.lookup import only_keywords
 from rankintel.operators.marketplace import MARKETPLACE_DOMAIN, marketplace_results
 from rankintel.operators.page_text import LISTING_PAGE_CHARS, PRODUCT_PAGE_CHARS, html_to_text
 from rankintel.operators.ranked_links import ranked_links
@@ -72,11 +72,23 @@ class RunResult:
     summary: DataFrame
 
 
-def _pages_of(selected: DataFrame, corpus: DataFrame, limit: int | None) -> DataFrame:
-    """Fetched pages of the selected urls; a bounded selection is broadcast, so html is filtered where it lies."""
-    if limit is not None and limit <= BOUNDED_ROWS:
-        return fetched(corpus).join(F.broadcast(selected.select("url")), "url", "left_semi")
-    return fetched(corpus)
+# Bitmaps that tell selected urls, whatever their number; Spark's bitmaps hold BITMAP_BITS bits in 4 KB each.
+BITMAPS, BITMAP_BITS = 1024, 32_768
+
+
+def _pages_of(selected: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Fetched pages whose url may be a selected one, found where the html lies.
+
+    The hashes of the selected urls are folded into bitmaps that hold at most 4 MB together, so broadcasting them is
+    safe for any selection. Every selected page passes, and so does another one whose hash meets a set bit: join the
+    extracted rows with the selected urls.
+    """
+    hash_ = F.xxhash64("url")
+    bucket, bit = F.pmod(hash_, F.lit(BITMAPS)).alias("_bucket"), F.pmod(F.shiftright(hash_, 32), F.lit(BITMAP_BITS)).alias("_bit")
+    bitmaps = selected.select(bucket, bit).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substr("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = fetched(corpus).select("*", bucket, bit).join(F.broadcast(bitmaps), "_bucket")
+    return marked.where(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).drop("_bucket", "_bit", "_bits")
 
 
 def _onto(selected: DataFrame, reduced: DataFrame) -> DataFrame:
@@ -98,7 +110,7 @@ def newest_fetch(pages: DataFrame, rows: DataFrame) -> DataFrame:
 
 def product_labels(selected: DataFrame, corpus: DataFrame, options: RunOptions) -> DataFrame:
     """Labels of the selected urls; one without a fetched page gets the fallback labels."""
-    pages = _pages_of(selected, corpus, options.classify_limit).withColumn("html_chars", F.length("html"))
+    pages = _pages_of(selected, corpus).withColumn("html_chars", F.length("html"))
     texts = html_to_text(pages).select("url", "fetched_at", "html_chars", "page_text")
     return label_pages(
         _onto(selected, texts), PRODUCT_PAGE_CHARS, "could not extract text from HTML", options.classifier
@@ -108,7 +120,7 @@ def product_labels(selected: DataFrame, corpus: DataFrame, options: RunOptions)
 def listing_rows(selected: DataFrame, corpus: DataFrame, options: RunOptions, scraped_at: Column) -> DataFrame:
     """Listing table rows of the selected urls; a page too thin to read leaves its facts empty."""
     facts = ("title", "price_usd", "shop", "materials", "tags", "reviews", "favorites")
-    pages = _pages_of(selected, corpus, options.listings_limit).withColumn("html_chars", F.length("html"))
+    pages = _pages_of(selected, corpus).withColumn("html_chars", F.length("html"))
     read = _onto(selected, classification_text(listing_metadata(pages)))
     readable = F.col("html_chars") >= LISTING_PAGE_CHARS
     packed = read.select("url", "html_chars", "page_text", F.when(readable, F.struct(*facts)).alias("_page"))
@@ -207,7 +219,7 @@ def run_batch(
     if corpora.products is not None and not opt.skip_pages:
         crawled = before_run(tables["product_pages"], run_at)
         missing = select_uncrawled(tables["serp_results"], crawled, opt.pages_limit)
-        arrived = _pages_of(missing, corpora.products, opt.pages_limit).join(missing, "url", "left_semi")
+        arrived = _pages_of(missing, corpora.products).join(missing, "url", "left_semi")
         append("product_pages", stored_pages(arrived, now))
 
     # Labels, product snapshots, change log.

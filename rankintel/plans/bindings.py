@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankintel.operators.upsert import last_per_key
-from rankintel.sources.pages import spread
 
 # Which label a part type stands for; the remaining type reads as a blank label.
 METAL_OF_TYPE = {
@@ -51,6 +50,12 @@ def script_json(value: Column) -> Column:
     return F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
 
 
+def spread(scan: DataFrame, *key: str) -> DataFrame:
+    """A test table of fewer splits than cores, dealt out by its key: its files are too few to keep the cores busy."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 class Bound:
     """Lazily built DataFrames over one directory of test tables."""
 

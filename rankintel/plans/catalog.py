@@ -419,6 +419,11 @@ def metal_breakdown_by_query(b: Bound) -> DataFrame:
     return intel.metal_breakdown_by_query(b.serp, b.classes, limit=5, per_query=True)
 
 
+@query
+def metal_breakdown_by_query_all(b: Bound) -> DataFrame:
+    return intel.metal_breakdown_by_query(b.serp, b.classes, limit=None)
+
+
 @query
 def breakdown_summary(b: Bound) -> DataFrame:
     return intel.breakdown_summary(intel.metal_breakdown(b.serp, b.classes, limit=None))
@@ -439,6 +444,11 @@ def list_serp_results(b: Bound) -> DataFrame:
     return results.list_serp_results(b.serp, b.classes, limit=3, offset=2)
 
 
+@query
+def list_serp_results_all(b: Bound) -> DataFrame:
+    return results.list_serp_results(b.serp, b.classes, limit=None)
+
+
 @query
 def similar_queries(b: Bound) -> DataFrame:
     return results.similar_queries(b.table("part"), "Small ring", column="p_name")
@@ -464,6 +474,11 @@ def list_marketplace_results(b: Bound) -> DataFrame:
     return results.list_marketplace_results(b.shop_serp, b.listings, limit=5)
 
 
+@query
+def list_marketplace_results_all(b: Bound) -> DataFrame:
+    return results.list_marketplace_results(b.shop_serp, b.listings, limit=None)
+
+
 @query
 def marketplace_intel(b: Bound) -> DataFrame:
     return _flat_lists(results.marketplace_intel(b.shop_serp, b.listings, limit=None))
@@ -474,18 +489,31 @@ def marketplace_metal_summary(b: Bound) -> DataFrame:
     return results.marketplace_metal_summary(results.marketplace_intel(b.shop_serp, b.listings, limit=None))
 
 
-@query
-def serp_history(b: Bound) -> DataFrame:
-    rows = history.serp_history(b.snaps, b.snap_res)
+def _flat_history(rows: DataFrame) -> DataFrame:
     listed = F.array_join(F.transform("top_domains", lambda d: F.concat(d["domain"], F.lit(":"), d["position"].cast("string"))), "|")
     return rows.withColumn("top_domains", listed).drop("our_url")
 
 
+@query
+def serp_history(b: Bound) -> DataFrame:
+    return _flat_history(history.serp_history(b.snaps, b.snap_res))
+
+
+@query
+def serp_history_all(b: Bound) -> DataFrame:
+    return _flat_history(history.serp_history(b.snaps, b.snap_res, limit=None))
+
+
 @query
 def position_trend(b: Bound) -> DataFrame:
     return history.position_trend(b.snaps)
 
 
+@query
+def position_trend_all(b: Bound) -> DataFrame:
+    return history.position_trend(b.snaps, limit=None)
+
+
 @query
 def competitor_products(b: Bound) -> DataFrame:
     shown = history.competitor_products(
@@ -494,15 +522,24 @@ def competitor_products(b: Bound) -> DataFrame:
     return shown.select("url", "domain", "name", "price_usd", "metal_type", "karat", "description", "first_seen_at", "last_scraped_at", "snapshot_at")
 
 
-@query
-def competitor_products_changed(b: Bound) -> DataFrame:
+def _changed_products(b: Bound, **limit) -> DataFrame:
     flagged = deltas.snapshot_change_flags(b.prod_snaps, None, "product_id", ("scraped_at", "id"))
     shown = history.competitor_products(
-        b.comp_products, b.competitors, flagged, only_changed=True, key="product_id", on="competitor_id", order=("scraped_at", "id")
+        b.comp_products, b.competitors, flagged, only_changed=True, key="product_id", on="competitor_id", order=("scraped_at", "id"), **limit
     )
     return shown.select("url", "domain", "price_usd", "price_changed", "description_changed", "snapshot_at")
 
 
+@query
+def competitor_products_changed(b: Bound) -> DataFrame:
+    return _changed_products(b)
+
+
+@query
+def competitor_products_changed_all(b: Bound) -> DataFrame:
+    return _changed_products(b, limit=None)
+
+
 @query
 def price_history(b: Bound) -> DataFrame:
     rows = history.price_history(b.prod_snaps, b.owned_products, key="product_id", order=("scraped_at", "id"))

@@ -480,6 +480,8 @@ SQL: dict[str, str] = {
     "metal_breakdown_by_query": """
         SELECT query, metal_type, COUNT(*) AS n FROM (
           SELECT * FROM intel QUALIFY row_number() OVER (PARTITION BY query ORDER BY position) <= 5) GROUP BY 1, 2""",
+    "metal_breakdown_by_query_all": """
+        SELECT query, metal_type, COUNT(*) AS n FROM intel GROUP BY 1, 2""",
     "breakdown_summary": f"""
         SELECT *, {_printf(SUMMARIES, 'summary_code', ['solid_pct', 'plated_vermeil_pct'])} AS summary FROM (
           SELECT *, CASE WHEN solid_pct = 0 THEN 'none_solid' WHEN solid_pct < 25 THEN 'few_solid'
@@ -498,6 +500,12 @@ SQL: dict[str, str] = {
                 row_number() OVER (PARTITION BY s.query ORDER BY s.position) AS nth
               FROM serp s LEFT JOIN classes l ON l.url = s.url)
         WHERE nth BETWEEN 3 AND 5""",
+    "list_serp_results_all": f"""
+        SELECT query, position, url, title, snippet, classified, metal_type, karat, confidence, total, false AS has_more
+        FROM (SELECT s.query, s.position, s.url, s.title, '' AS snippet, l.metal_type IS NOT NULL AS classified,
+                {_RESULT_LABELS.format(missing='not classified')},
+                COUNT(*) OVER (PARTITION BY s.query) AS total
+              FROM serp s LEFT JOIN classes l ON l.url = s.url)""",
     "similar_queries": """
         SELECT DISTINCT p_name AS query FROM part WHERE p_name ILIKE '%Small%' ORDER BY 1 LIMIT 5""",
     "product_classification": """
@@ -519,6 +527,13 @@ SQL: dict[str, str] = {
                 row_number() OVER (PARTITION BY s.query ORDER BY s.position) AS nth
               FROM shop_serp s LEFT JOIN listings l ON l.url = s.url)
         WHERE nth <= 5""",
+    "list_marketplace_results_all": f"""
+        SELECT query, position, url, title, price_usd, shop, reviews, star_seller, classified, metal_type, karat,
+               confidence, total
+        FROM (SELECT s.query, s.position, s.url, s.title, s.price_usd, s.shop, s.reviews, s.star_seller,
+                l.metal_type IS NOT NULL AS classified, {_RESULT_LABELS.format(missing='not classified')},
+                COUNT(*) OVER (PARTITION BY s.query) AS total
+              FROM shop_serp s LEFT JOIN listings l ON l.url = s.url)""",
     "marketplace_intel": _MARKET,
     "marketplace_metal_summary": f"SELECT query, metal_type, COUNT(*) AS n FROM ({_MARKET}) GROUP BY 1, 2",
     "serp_history": """
@@ -527,6 +542,11 @@ SQL: dict[str, str] = {
         LEFT JOIN (SELECT snapshot_id, string_agg(domain || ':' || position, '|' ORDER BY position, domain) AS top_domains
                    FROM snap_res WHERE NOT is_ours AND position <= 5 GROUP BY 1) USING (snapshot_id)
         WHERE nth <= 20""",
+    "serp_history_all": """
+        SELECT query, snapshot_id, scraped_at, our_position, total_results, COALESCE(top_domains, '') AS top_domains
+        FROM snaps
+        LEFT JOIN (SELECT snapshot_id, string_agg(domain || ':' || position, '|' ORDER BY position, domain) AS top_domains
+                   FROM snap_res WHERE NOT is_ours AND position <= 5 GROUP BY 1) USING (snapshot_id)""",
     "position_trend": """
         SELECT query, weeks_tracked, current_position,
                CASE WHEN current_position IS NULL THEN 'not_ranked' WHEN current_position < oldest THEN 'improving'
@@ -537,6 +557,15 @@ SQL: dict[str, str] = {
               FROM (SELECT * FROM snaps
                     QUALIFY row_number() OVER (PARTITION BY query ORDER BY scraped_at DESC, snapshot_id DESC) <= 20)
               GROUP BY query)""",
+    "position_trend_all": """
+        SELECT query, weeks_tracked, current_position,
+               CASE WHEN current_position IS NULL THEN 'not_ranked' WHEN current_position < oldest THEN 'improving'
+                    WHEN current_position > oldest THEN 'declining' ELSE 'stable' END AS trend
+        FROM (SELECT query, COUNT(*) AS weeks_tracked,
+                arg_max(our_position, (scraped_at, snapshot_id)) FILTER (WHERE our_position IS NOT NULL) AS current_position,
+                arg_min(our_position, (scraped_at, snapshot_id)) FILTER (WHERE our_position IS NOT NULL) AS oldest
+              FROM snaps
+              GROUP BY query)""",
     "competitor_products": """
         SELECT cp.url, c.domain, c.name, n.price_usd, COALESCE(NULLIF(n.metal_type, ''), 'unknown') AS metal_type,
                'unknown' AS karat, COALESCE(n.description, '') AS description, cp.first_seen_at, cp.last_scraped_at,
@@ -546,6 +575,10 @@ SQL: dict[str, str] = {
         SELECT cp.url, c.domain, n.price_usd, n.price_changed, n.description_changed, n.scraped_at AS snapshot_at
         FROM comp_products cp JOIN competitors c USING (competitor_id) JOIN newest_snap n USING (product_id)
         WHERE n.price_changed OR n.description_changed ORDER BY n.price_usd NULLS FIRST, cp.url LIMIT 30""",
+    "competitor_products_changed_all": """
+        SELECT cp.url, c.domain, n.price_usd, n.price_changed, n.description_changed, n.scraped_at AS snapshot_at
+        FROM comp_products cp JOIN competitors c USING (competitor_id) JOIN newest_snap n USING (product_id)
+        WHERE n.price_changed OR n.description_changed""",
     "price_history": """
         SELECT o.url, o.domain, s.scraped_at, s.id, s.price_usd, s.metal_type, 'unknown' AS karat, s.description,
                false AS price_changed

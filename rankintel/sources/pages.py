@@ -19,23 +19,14 @@ def fetched(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.where(F.length(html) > 0)
 
 
-def spread(scan: DataFrame, *key: str) -> DataFrame:
-    """Hash a file scan of fewer splits than cores out by its key, because parsing costs far more than moving it.
-
-    A scan of many splits is returned as it is, so a large corpus is never shuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_pages(
-    spark: SparkSession, path: str, schema: schemas.Schema = schemas.PAGE_FETCHES, fmt: str = "parquet", key: str = "url"
+    spark: SparkSession, path: str, schema: schemas.Schema = schemas.PAGE_FETCHES, fmt: str = "parquet"
 ) -> DataFrame:
     """Scan a page corpus (parquet by default) by its declared schema; failed fetches are left out.
 
-    `key` names the page's own column, query for search pages.
+    Pages are parsed where they lie; how finely a scan is split is a matter of `spark.sql.files.*`.
     """
-    return fetched(spread(spark.read.schema(schemas.ddl(schema)).format(fmt).load(path), key))
+    return fetched(spark.read.schema(schemas.ddl(schema)).format(fmt).load(path))
 
 
 def stored_pages(pages: DataFrame, scraped_at: Column, existing: DataFrame | None = None) -> DataFrame:

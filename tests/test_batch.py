@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankintel.operators.results import list_serp_results, similar_queries
-from rankintel.plans.batch import Corpora, RunOptions, latest_digest, newest_fetch, run_batch
+from rankintel.plans.batch import Corpora, RunOptions, _pages_of, latest_digest, newest_fetch, run_batch
 from rankintel.sources.keywords import read_keywords
 from rankintel.sources.tables import append_history, before_run, load_tables, moment, read_table
 
@@ -177,3 +177,13 @@ def test_a_page_of_results_comes_in_order(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r.position for r in page] == list(range(6, 21))
+
+
+def test_selected_pages_are_found_where_they_lie(spark):
+    corpus = spark.range(4000).selectExpr("concat('u', id) AS url", "IF(id % 10 = 9, '', 'x') AS html")
+    selected = spark.range(0, 4000, 100).selectExpr("concat('u', id) AS url")
+    found = _pages_of(selected, corpus)
+    assert found.columns == ["url", "html"]
+    assert found.join(selected, "url", "left_semi").count() == 40
+    assert found.count() < 100
+    assert _pages_of(selected.limit(0), corpus).count() == 0

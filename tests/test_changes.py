@@ -130,8 +130,8 @@ def test_price_moves(spark, rows):
     snaps = priced(spark, data)
     products = spark.createDataFrame([("same",), ("up",), ("free",), ("twice",), ("gone",)], "url string")
     shape = ("url", "old_price", "new_price", F.bround("pct", 6), "n_pairs")
-    assert rows(runs.price_moves(products, snaps, DAY2, DAY1), *shape) == [("twice", 10.0, 20.0, 100.0, 2), ("up", 100.0, 116.0, 16.0, 1)]
-    assert rows(runs.price_moves(products, snaps, DAY2, DAY1, mode="latest"), *shape) == [("up", 100.0, 116.0, 16.0, 1)]
+    assert rows(runs.price_moves(products, snaps, DAY2, DAY1, mode="all"), *shape) == [("twice", 10.0, 20.0, 100.0, 2), ("up", 100.0, 116.0, 16.0, 1)]
+    assert rows(runs.price_moves(products, snaps, DAY2, DAY1), *shape) == [("up", 100.0, 116.0, 16.0, 1)]
 
 
 def test_one_run_has_no_pair(spark):

@@ -243,3 +243,13 @@ def test_page_guard(spark):
     df = spark.createDataFrame([("x" * 299, "t"), ("x" * 300, " "), ("x" * 300, "t"), (None, "t")], "html string, page_text string")
     reasons = [r.fallback_reason for r in page_guard(df, text="page_text").collect()]
     assert reasons == ["empty page (299 chars)", "could not extract text from HTML", None, "empty page (0 chars)"]
+
+
+def test_a_page_of_very_many_listings(spark):
+    items = ",".join(f'{{"item": {{"name": "n{i % 6000}", "url": "https://www.etsy.com/listing/{i % 6000}/x"}}}}' for i in range(12000))
+    named = f'<script type="application/ld+json">{{"@type": "ItemList", "itemListElement": [{items}]}}</script>'
+    marked = "".join(f'<div data-listing-id="{i % 6000}">' for i in range(12000))
+    pages = spark.createDataFrame([("named", named), ("marked", marked)], "query string, html string")
+    found = marketplace_results(pages).orderBy("query", "seq").collect()
+    for name in ("marked", "named"):
+        assert [r.listing_id for r in found if r.query == name] == [str(i) for i in range(48)]
