@@ -22,8 +22,9 @@ def _page_of(results: DataFrame, query, limit: int | None, offset: int = 0) -> D
     """One page of a query's results, or of every query's."""
     if query is None:
         return top_per_group(results, ["query"], [F.asc("position"), F.asc("url")], limit, offset)
-    chosen = results.where(F.col("query") == F.lit(query)).orderBy("position", "url").offset(offset)
-    return chosen if limit is None else chosen.limit(limit)
+    chosen = results.where(F.col("query") == F.lit(query)).orderBy("position", "url")
+    # The limit comes first: adaptive execution may drop a later sort over a limit of an offset.
+    return (chosen if limit is None else chosen.limit(offset + limit)).offset(offset)
 
 
 def _totals(results: DataFrame, query) -> DataFrame:

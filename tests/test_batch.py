@@ -174,9 +174,11 @@ def test_a_page_of_results_comes_in_order(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         page = list_serp_results(serp, classes, "q", 15, 5).collect()
+        large = list_serp_results(serp, classes, "q", 20_000, 5).collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r.position for r in page] == list(range(6, 21))
+    assert [r.position for r in large] == list(range(6, 41))
 
 
 def test_selected_pages_are_found_where_they_lie(spark):
