@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankintel.llm import bpe, chat, fingerprint, language, ngram_join, packing, quality, substring, topk, urls
+from rankintel.llm import bpe, chat, fingerprint, graph_index, language, ngram_join, packing, periodic, quality, spelling, substring, topk, urls
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -58,8 +58,21 @@ def op10_substring(spark: SparkSession, root: str) -> DataFrame:
     return substring.dedup(_table(spark, root, "documents"))
 
 
+def op11_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    return graph_index.nearest(_table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_spelling(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, root, "documents"), edit=spelling.letter_dropped)
+
+
+def op13_periodic(spark: SparkSession, root: str) -> DataFrame:
+    return periodic.digest(_table(spark, root, "documents"), edit=periodic.planted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_fingerprints, op2_bpe, op3_packing, op4_ngram_join, op5_urls, op6_quality, op7_chat, op8_language, op9_topk, op10_substring)
+    first = (op1_fingerprints, op2_bpe, op3_packing, op4_ngram_join, op5_urls, op6_quality, op7_chat)
+    own = (*first, op8_language, op9_topk, op10_substring, op11_neighbours, op12_spelling, op13_periodic)
     return {query.__name__: query for query in own}
 
 
