@@ -1,7 +1,8 @@
 """Exact Jaccard join of documents on word shingles: size-banded tiles with bitmap signatures.
 
-Documents with equal shingle sets are one node. A pair of nodes that is similar enough shares a shingle among the
-rarest few of each, so nodes meet in the tile of each such shingle; there, only nodes of comparable size are compared.
+Documents with equal shingle sets are one node. A pair of nodes that is similar enough shares several shingles among the
+rarest few of each, so nodes meet in the tile of each such shingle; there, only nodes of comparable size are compared,
+and a node that meets others in fewer tiles than a similar pair must have in common goes before anything is compared.
 A signature holds the parity of the number of shingles per bit: where two signatures differ, the sets differ, which
 bounds their overlap from above by a bit count. Pairs that pass are counted exactly on their sorted shingle arrays.
 
@@ -24,17 +25,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankintel.llm.components import components
-from rankintel.llm.shared import stored
+from rankintel.llm.shared import sliced, stored
 from rankintel.llm.words import Windows, words_of
 
 SHINGLE_WORDS = 4
 #: Similar are two sets if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Shingles are ordered by how frequent their bucket is; buckets number 2^ORDER_BITS whatever the input.
-ORDER_BITS = 20
-#: Bits of a signature: at least so many, then four for each shingle, at most so many.
+#: Shingles are ordered by how frequent their bucket is; buckets number four a document, within 2^these bits.
+ORDER_BITS = (20, 24)
+#: So many tiles a pair of similar nodes has in common, at least (fewer, if the sets are small).
+SHARED_TILES = 8
+#: Bits of a signature: at least so many, then one for each shingle (up to a power of two), at most so many.
 LEAST_BITS, MOST_BITS = 64, 16_384
 CHUNK_NODES = 512
+#: Parts that the documents of one set are dealt into while their first is looked up.
+SALTS = 64
 
 
 def shingles(text: str | bytes | None) -> np.ndarray:
@@ -45,13 +50,13 @@ def shingles(text: str | bytes | None) -> np.ndarray:
 
 def signature(hashes: np.ndarray) -> bytes:
     """Parity of the number of hashes per bit; wider for larger sets. A wider one folds into a narrower one by xor."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, 4 * len(hashes) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(hashes) - 1).bit_length()))
     counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.intp), minlength=bits)
     return np.packbits(counts.astype(np.uint8) & 1).tobytes()
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.intp)
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.intp)
 
 
 def _levels(docs: DataFrame) -> np.ndarray:
@@ -60,18 +65,19 @@ def _levels(docs: DataFrame) -> np.ndarray:
     Any order of shingles gives the same result; this one keeps the frequent ones out of the tiles. Each task reports
     the buckets that stand out among its documents, and their counts are added up over all documents.
     """
+    bits = min(ORDER_BITS[1], max(ORDER_BITS[0], (4 * docs.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << ORDER_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(counts, _bucket(shingles(text.as_py())), 1)
+                np.add.at(counts, _bucket(shingles(text.as_py()), bits), 1)
         found = np.flatnonzero(counts > 8 + 2 * counts.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["bucket", "n"])
 
     counted = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    levels = np.zeros(1 << ORDER_BITS, np.uint8)
-    rows = counted.toPandas()  # at most 2^ORDER_BITS rows
+    levels = np.zeros(1 << bits, np.uint8)
+    rows = counted.toPandas()  # at most 2^bits rows, and as many bytes are sent to the tasks
     levels[rows["bucket"].to_numpy(np.int64)] = np.log2(rows["n"].to_numpy(np.float64)).astype(np.uint8)
     return levels
 
@@ -80,42 +86,61 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc, n, digest of the set, signature."""
+def _least_common(n: int) -> int:
+    """How many shingles a set of `n` has in common with any similar one, at least."""
+    return -(-PERCENT * n // 100)
+
+
+def rarest(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The shingles by which a set must meet similar ones, in `SHARED_TILES` tiles or as many as it has in common.
+
+    All but `_least_common` of its shingles may be missing in a similar set; so many more of the rarest are taken that
+    the given number of those in common is among them.
+    """
+    common = _least_common(len(hashes))
+    bits = len(levels).bit_length() - 1
+    return hashes[np.lexsort((hashes, levels[_bucket(hashes, bits)]))[: len(hashes) - common + min(SHARED_TILES, common)]]
+
+
+def _sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """doc, n, digest of the set, signature, and the rarest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(text.as_py()) for text in batch.column(1)]
-            sizes = pa.array([len(h) for h in sets], pa.int32())
-            columns = [batch.column(0), sizes, *(pa.array([f(h) for h in sets], pa.binary()) for f in (_digest, signature))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "digest", "signature"])
+        for whole in batches:
+            for batch in sliced(whole, 1):
+                sets = [shingles(text.as_py()) for text in batch.column(1)]
+                sizes = pa.array([len(h) for h in sets], pa.int32())
+                made = [pa.array([f(h) for h in sets], pa.binary()) for f in (_digest, signature, lambda h: rarest(h, levels).tobytes())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *made], names=["doc", "n", "digest", "signature", "rare"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, digest binary, signature binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n int, digest binary, signature binary, rare binary")
 
 
-def _rare(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """key, doc, n, set: each document by the shingles by which it must meet similar ones; `set` tells equal sets."""
+def _first_of_set(linked: DataFrame) -> DataFrame:
+    """doc, n, digest, rep: the smallest document with the same set.
+
+    The documents of a set are dealt into `SALTS` parts, and only the parts' smallest are gathered by set, so that a
+    set which a third of all documents have is nowhere in one task.
+    """
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
+    salted = linked.select("doc", "n", "digest", salt)
+    parts = salted.groupBy("digest", "salt").agg(F.min("doc").alias("first"))
+    named = parts.join(parts.groupBy("digest").agg(F.min("first").alias("rep")), "digest").select("digest", "salt", "rep")
+    return salted.join(named, ["digest", "salt"]).select("doc", "n", "digest", "rep")
+
+
+def _rare(nodes: DataFrame) -> DataFrame:
+    """key, doc, n: each node by its rarest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys, docs_, sizes, sets = [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    hashes = shingles(text.as_py())
-                    if not len(hashes):
-                        continue
-                    most = len(hashes) + 1 - -(-PERCENT * len(hashes) // 100)
-                    keys.append(hashes[np.lexsort((hashes, levels[_bucket(hashes)]))[:most]].view(np.int64))
-                    docs_.append(doc)
-                    sizes.append(len(hashes))
-                    sets.append(int.from_bytes(_digest(hashes)[:8], "little", signed=True))
+        for whole in batches:
+            for batch in sliced(whole, 2):
+                keys = [np.frombuffer(rare.as_py(), np.int64) for rare in batch.column(2)]
                 times = [len(k) for k in keys]
-                columns = [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))]
-                columns += [pa.array(np.repeat(np.array(x, kind), times)) for x, kind in ((docs_, np.int64), (sizes, np.int32), (sets, np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "n", "set"])
+                docs, sizes = (np.repeat(batch.column(i).to_numpy(), times) for i in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(docs), pa.array(sizes)], names=["key", "doc", "n"])
 
-    return docs.where("doc IS NOT NULL").select("doc", "text").mapInArrow(run, "key long, doc long, n int, set long")
+    return nodes.select("doc", "n", "rare").mapInArrow(run, "key long, doc long, n int")
 
 
 def _comparable(small: str, large: str) -> str:
@@ -123,14 +148,21 @@ def _comparable(small: str, large: str) -> str:
 
 
 def _tiles(rare: DataFrame) -> DataFrame:
-    """key, doc, n: nodes by shingle, where another node of comparable size has it too.
+    """key, doc, n: nodes by shingle, where another node of comparable size has it too."""
+    order = Window.partitionBy("key").orderBy("n", "doc")
+    beside = rare.select("*", F.lag("n").over(order).alias("less"), F.lead("n").over(order).alias("more"))
+    return beside.where(f"({_comparable('less', 'n')}) OR ({_comparable('n', 'more')})").select("key", "doc", "n")
 
-    Equal sets have the same shingles and stand together: the first of them is the node.
+
+def _met_often(tiles: DataFrame) -> DataFrame:
+    """The tiles without nodes that are in fewer of them than a similar pair has in common.
+
+    A node of `n` shingles has `SHARED_TILES` with each similar node, or as many as the smallest of these must have in
+    common with it.
     """
-    order = Window.partitionBy("key").orderBy("n", "set", "doc")
-    nodes = rare.withColumn("last", F.lag("set").over(order)).where("last IS NULL OR last <> set").drop("last")
-    beside = nodes.select("*", F.lag("n").over(order).alias("less"), F.lead("n").over(order).alias("more"))
-    return beside.where(f"({_comparable('less', 'n')}) OR ({_comparable('n', 'more')})").select("key", "doc", "n")
+    least = F.ceil(F.ceil(F.col("n") * PERCENT / 100) * PERCENT / 100)
+    counted = tiles.withColumn("tiles", F.count("*").over(Window.partitionBy("doc")))
+    return counted.where(F.col("tiles") >= F.least(F.lit(SHARED_TILES), least)).select("key", "doc", "n")
 
 
 def _different(tiles: DataFrame) -> DataFrame:
@@ -163,11 +195,8 @@ def _first_pairs(tiles: DataFrame) -> DataFrame:
     return both.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
-KEPT_BYTES = 6
-
-
 def _arrays(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc and sorted shingles (the upper `KEPT_BYTES` bytes of each) of the documents that are in a pair (a, b)."""
+    """doc and sorted shingles of the documents that are in a pair (a, b)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = zstandard.ZstdCompressor(3).compress
@@ -178,19 +207,16 @@ def _arrays(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            hashes = [shingles(unpack(words.as_py())).view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :].tobytes() for words in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["doc", "hashes"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                hashes = [shingles(unpack(words.as_py())).tobytes() for words in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], names=["doc", "hashes"])
 
     packed = docs.select("doc", "text").mapInArrow(pack, "doc long, packed binary")
     wanted = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "paired")
     return stored(packed.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, hashes binary"), "arrays")
 
 
-def _numbers(kept: bytes) -> np.ndarray:
-    own = np.frombuffer(kept, np.uint8).reshape(-1, KEPT_BYTES)
-    return np.pad(own, ((0, 0), (0, 8 - KEPT_BYTES))).view(np.uint64).ravel()
-
-
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that pass the size and signature bounds."""
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
@@ -216,7 +242,7 @@ def _similar(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for one, two in zip(batch.column(2), batch.column(3)):
-                one, two = _numbers(one.as_py()), _numbers(two.as_py())
+                one, two = (np.frombuffer(x.as_py(), np.uint64) for x in (one, two))
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -264,12 +290,13 @@ def _cross_pairs(tiles: DataFrame, found: DataFrame, sets: DataFrame) -> DataFra
     placed = tiles.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", own)
     # The only pair of a tile of two is one of neighbours, which has been checked.
     members = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("own").alias("low"), F.max("own").alias("high"))
-    mixed = members.where("size > 2 AND low < high").select("key")
-    open_ = placed.join(mixed, "key", "left_semi")
+    open_ = placed.join(members.where("size > 2 AND low < high").select("key", "size"), "key")
     # Members of a component stand together, so that the chunks of a large one have nothing to compare among themselves.
     number = F.row_number().over(Window.partitionBy("key").orderBy("own", "n", "doc"))
     chunked = open_.withColumn("chunk", F.floor((number - 1) / CHUNK_NODES))
-    chunked = stored(chunked.join(sets.select("doc", "n", "signature"), ["doc", "n"]), "chunks")
+    chunked = stored(chunked, "chunks")
+    whole = chunked.where(F.col("size") <= CHUNK_NODES).select("key", F.col("chunk").alias("chunk_l"), F.col("chunk").alias("chunk_r"), F.lit(2).alias("side"), "doc", "n", "own")
+    chunked = chunked.where(F.col("size") > CHUNK_NODES)
     spans = chunked.groupBy("key", "chunk").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("own").alias("o0"), F.max("own").alias("o1"))
     left, right = (spans.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("chunk", "n0", "n1", "o0", "o1")]) for s in ("_l", "_r"))
     met = left.join(right, "key").where("chunk_l <= chunk_r").where(f"({_comparable('n0_l', 'n1_r')} OR n0_l <= n1_r) AND ({_comparable('n1_l', 'n0_r')} OR n1_l >= n0_r)")
@@ -282,7 +309,8 @@ def _cross_pairs(tiles: DataFrame, found: DataFrame, sets: DataFrame) -> DataFra
             )
         ).alias("at"),
     ).select("key", "chunk_l", "chunk_r", F.col("at.chunk").alias("chunk"), F.col("at.side").alias("side"))
-    rows = chunked.join(sides, ["key", "chunk"]).select("key", "chunk_l", "chunk_r", "side", "doc", "n", "own", "signature")
+    rows = whole.union(chunked.join(sides, ["key", "chunk"]).select("key", "chunk_l", "chunk_r", "side", "doc", "n", "own"))
+    rows = rows.join(sets, ["doc", "n"]).select("key", "chunk_l", "chunk_r", "side", "doc", "n", "own", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -317,24 +345,28 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     that links wherever one of them links. A null key takes no part in links, and its component is null.
     """
     picked = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("text"))
-    sets = stored(_sets(picked), "sets")
-    linked = sets.where("n > 0 AND doc IS NOT NULL")
-    first = linked.groupBy("digest").agg(F.min("doc").alias("rep"))
-    tiles = stored(_different(stored(_tiles(_rare(picked, _levels(picked))), "all-tiles")), "tiles")
+    sets = stored(_sets(picked, _levels(picked)), "sets")
+    linked = stored(_first_of_set(sets.where("n > 0 AND doc IS NOT NULL")), "linked")
+    # Rows that repeat a key have a node each where their sets differ; all go by the key.
+    reps = linked.where("doc = rep").select("doc", "n", "digest").distinct()
+    nodes = sets.join(reps, ["doc", "n", "digest"], "left_semi")
+    tiles = stored(_tiles(_met_often(_tiles(_rare(nodes.dropDuplicates(["doc", "n", "digest"]))))), "all-tiles")
+    tiles = stored(_different(tiles), "tiles")
+    cards = sets.select("doc", "n", "signature").join(tiles.select("doc", "n").distinct(), ["doc", "n"], "left_semi")
+    cards = stored(cards.dropDuplicates(["doc", "n", "signature"]), "signatures")
 
     def similar(likely: DataFrame) -> DataFrame:
         pairs = stored(likely, "likely")
         return stored(_similar(pairs, _arrays(picked, pairs)), "pairs")
 
-    links = similar(_likely(stored(_first_pairs(tiles), "first"), linked))
+    links = similar(_likely(stored(_first_pairs(tiles), "first"), cards))
     stars = components(links)
-    more = similar(_cross_pairs(tiles, stars, linked))
+    more = similar(_cross_pairs(tiles, stars, cards))
     # Rows of one key with different texts join their nodes: the key's own node is another name for each.
-    same = linked.join(first, "digest").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    same = linked.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     several = linked.select("doc", "digest").distinct().groupBy("doc").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc").alias("a"))
     found = components(stars.union(more).union(same.join(several, "a", "left_semi")), *stars.columns)
 
-    named = sets.select("doc", "n", "digest").join(first, "digest", "left")
-    named = named.select("doc", "n", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("rep")).alias("node"))
+    named = linked.select("doc", "n", F.col("rep").alias("node")).unionByName(sets.where("n = 0 OR doc IS NULL").select("doc", "n", F.lit(None).cast("long").alias("node")))
     named = named.join(found, "node", "left")
     return named.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "node", "doc")).alias("component_id"))
