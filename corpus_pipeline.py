@@ -17,35 +17,40 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls good."""
-    return quality.classify(docs, keep=tuple(docs.columns), text="text").where("good").select(docs.columns)
+    """Documents that the classifier calls good; null and empty texts go, other columns may have any names."""
+    return quality.good_only(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that can be told: those without a single letter go."""
-    model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
-    return language.predict(docs, model, tuple(docs.columns)).where(F.col("lang_pred") != language.UNDETERMINED).select(docs.columns)
+    """Documents of a language that can be told: null texts and those without a single letter go.
+
+    Without any labelled document nothing can be told, and nothing stays.
+    """
+    return language.determined_only(docs, language.learn(docs.where(~language.held_out(F.col("doc_id")))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id (of repeated rows, one).
+    """One document of each group of near duplicates, the one with the smallest id.
 
-    Rows without an id belong to no group and stay.
+    Rows that share an id are one document: of them the one with the smallest hash of all columns stays, whatever their
+    texts. Rows without an id belong to no group and stay. Documents without words are in no group and stay.
     """
     found = ngram_join.components_of(docs)
     ids = found.where("component_id = doc_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    kept = docs.join(ids, "doc_id", "left_semi").withColumn("__row", first).where("__row = 1").select(docs.columns)
-    return kept.union(docs.where("doc_id IS NULL").select(docs.columns))
+    # The columns go through the join as one, under a name that none of them can clash with.
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row")).withColumn("at", F.xxhash64("row"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("at"))
+    kept = rows.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi").withColumn("rank", first).where("rank = 1")
+    return kept.select("row.*").union(docs.where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that a document with a smaller id has too."""
+    """All documents, without the words of passages that a document with a smaller id has too; null texts stay null."""
     return substring.cut(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; a null text is the empty text."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

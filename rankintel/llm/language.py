@@ -14,13 +14,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 FEATURES = 4_096
 #: Labelled texts of each language that the machines are fitted on, at most.
 SAMPLE = 500
+#: How many times that number are taken, so that chance leaves enough.
+SPARE = 1.5
 FIT_ROUNDS = 120
 
 _LETTERS = np.full(256, 32, np.uint8)
@@ -101,18 +103,20 @@ def _families(profiles: dict[str, np.ndarray]) -> list[tuple[str, ...]]:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` texts of each language, chosen by a hash of key and length."""
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, F.length(text)).alias("at")).where("lang IS NOT NULL AND length(text) > 0")
-    order = Window.partitionBy("lang").orderBy("at")
-    # `at` alone goes through the window; texts are fetched by it for the rows that are chosen.
-    chosen = rows.select("lang", "at").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
-    limits = chosen.groupBy("lang").agg(F.max("at").alias("last")).collect()  # one row per language
-    if not limits:
+    """Fit on at most `sample` texts of each language, chosen by a hash of key and length.
+
+    Each language is counted first; then the rows whose hash is in a share that holds `SPARE` times the sample are
+    taken, all of a rare language. Null and empty texts and rows without a language teach nothing; of an empty table
+    the model predicts nothing.
+    """
+    at = F.pmod(F.xxhash64(docs[key], F.length(docs[text])), F.lit(1 << 30)) / (1 << 30)
+    rows = docs.select(docs[lang].alias("lang"), docs[text].alias("text"), at.alias("at")).where("lang IS NOT NULL AND length(text) > 0")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
+    if not counts:
         return Model(np.zeros((0, FEATURES)), np.array([], object))
-    last = {r["lang"]: r["last"] for r in limits}
     wanted = F.lit(False)
-    for name, at in last.items():
-        wanted = wanted | ((F.col("lang") == name) & (F.col("at") <= at))
+    for r in counts:
+        wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("at") < SPARE * sample / r["n"]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +124,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             for value in batch.column(1):
                 found = np.bincount(_triples(value.as_py()), minlength=FEATURES)
                 shares.append((found / found.sum()).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.binary())], names=["lang", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.binary()), batch.column(2)], names=["lang", "shares", "at"])
 
-    taken = rows.where(wanted).select("lang", "text").mapInArrow(features, "lang string, shares binary").toPandas()
-    # Equal hashes (repeated rows) may exceed the bound; of them the first are as good as any.
-    taken = taken.sort_values(["lang", "shares"]).groupby("lang").head(sample)
+    taken = rows.where(wanted).select("lang", "text", "at").mapInArrow(features, "lang string, shares binary, at double").toPandas()
+    # Of repeated rows, whose hashes are equal, the first are as good as any.
+    taken = taken.sort_values(["lang", "at", "shares"]).groupby("lang").head(sample)
     shares = np.frombuffer(b"".join(taken["shares"]), np.float32).reshape(len(taken), FEATURES)
     return Model(shares, taken["lang"].to_numpy())
 
@@ -143,6 +147,17 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     return picked.mapInArrow(run, schema)
 
 
+def determined_only(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose language the model can tell: null texts and texts without a letter go."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.predict(value.as_py())[0] != UNDETERMINED for value in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: Column) -> Column:
     """Rows that nothing is learned from: a remainder of 2 of the key's checksum."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -34,13 +34,24 @@ END_ID = 1
 RANK_GROUPS = 256
 #: Branches that the search may open before it settles for its incumbent.
 SEARCH_NODES = 24
-CACHE_UNITS = 1_000_000
+#: Bytes of words and ids that an encoder remembers, about; it lives as long as its task.
+CACHE_BYTES = 48_000_000
+ENTRY_BYTES = 240
 
 PIECES = "piece integer, start long, length long, ids_crc32 long"
 
 # ---------------------------------------------------------------- tokens
 
 
+@lru_cache(maxsize=1)
+def _library(path: str):
+    """The vocabulary file as the tokenizers library holds it, once for each Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordEncoder:
     """Ids of a lower-casing word vocabulary of the tokenizers library, with the words met before remembered.
 
@@ -49,10 +60,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._library = Tokenizer.from_file(path)
+        self._library = _library(path)
         self._model = self._library.model.tokenize
         self._special = tuple(t.content for t in self._library.get_added_tokens_decoder().values())
         self._words = regex.compile(PATTERN).findall
@@ -60,14 +68,19 @@ class WordEncoder:
         letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
         self._letters = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self._letters = str.maketrans(self._letters)
+        self._forget()
+
+    def _forget(self) -> None:
         self._known: dict[str, bytes] = {"": b""}
         self._known_words: dict[str, bytes] = {}
+        self.held = 0  # bytes of both, about
 
     def _word(self, word: str) -> bytes:
         ids = self._known_words.get(word)
         if ids is None:
             letters = word if word.isascii() and word.isprintable() else word.translate(self._letters)
             ids = self._known_words[word] = array("I", [token.id for token in self._model(letters)]).tobytes()
+            self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
         return ids
 
     def _unit(self, unit: str) -> bytes:
@@ -86,24 +99,20 @@ class WordEncoder:
         units = (text or "").replace("\n", " ").split(" ")
         ids = [*map(known.get, units)]
         if None in ids:
-            if len(known) > CACHE_UNITS:
-                known.clear()
-                self._known_words.clear()
-                known[""] = b""
             for i, own in enumerate(ids):
                 if own is None:
                     unit = units[i]
-                    if unit not in known:
-                        known[unit] = self._unit(unit)
-                    ids[i] = known[unit]
+                    own = known.get(unit)
+                    if own is None:
+                        if self.held > CACHE_BYTES:
+                            self._forget()
+                            known = self._known
+                        own = known[unit] = self._unit(unit)
+                        self.held += ENTRY_BYTES + 2 * len(unit) + len(own)
+                    ids[i] = own
         return b"".join(ids)
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of each document: ids of the text, then `end_id`, cut where `capacity` is reached."""
     schema = docs.select(key).schema
@@ -112,7 +121,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path).encode
+        encode = WordEncoder(path).encode
         for batch in batches:
             row, part, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):

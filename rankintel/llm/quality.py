@@ -207,3 +207,18 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return picked.mapInArrow(run, schema)
+
+
+def good_only(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text is good by the classifier that is learned from all of them.
+
+    Null and empty texts are not good. Rows with the same text stay or go together; of an empty table nothing stays.
+    """
+    scorer, _ = learn(docs, key, text)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([len(data) > 0 and scorer(data) >= threshold for data in _bytes_of(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
