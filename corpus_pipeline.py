@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankintel.llm import language, ngram_join, packing, quality, substring
-from rankintel.llm.shared import stored
+from rankintel.llm.shared import bounded_batches, stored
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls good; null and empty texts go, other columns may have any names."""
+    bounded_batches(spark)
     return quality.good_only(docs)
 
 
@@ -26,6 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Without any labelled document nothing can be told, and nothing stays.
     """
+    bounded_batches(spark)
     return language.determined_only(docs, language.learn(docs.where(~language.held_out(F.col("doc_id")))))
 
 
@@ -35,6 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id are one document: of them the one with the smallest hash of all columns stays, whatever their
     texts. Rows without an id belong to no group and stay. Documents without words are in no group and stay.
     """
+    bounded_batches(spark)
     found = ngram_join.components_of(docs)
     ids = found.where("component_id = doc_id").select("doc_id").distinct()
     # The columns go through the join as one, under a name that none of them can clash with.
@@ -46,11 +49,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that a document with a smaller id has too; null texts stay null."""
+    bounded_batches(spark)
     return substring.cut(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences; a null text is the empty text."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankintel.llm.components import components
-from rankintel.llm.shared import sliced, stored
+from rankintel.llm.shared import bounded_batches, sliced, stored
 from rankintel.llm.words import Windows, words_of
 
 SHINGLE_WORDS = 4
@@ -344,6 +344,7 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Texts without words (null, empty, blank) have no shingles and no links. Rows that repeat a key are one document
     that links wherever one of them links. A null key takes no part in links, and its component is null.
     """
+    bounded_batches(docs.sparkSession)
     picked = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("text"))
     sets = stored(_sets(picked, _levels(picked)), "sets")
     linked = stored(_first_of_set(sets.where("n > 0 AND doc IS NOT NULL")), "linked")
