@@ -31,7 +31,8 @@ from rankintel.operators.upsert import last_per_key, touch_last_scraped, upsert_
 from rankintel.schemas import APPENDED_TABLES, KEYED_TABLES
 from rankintel.sources.keywords import distinct_queries
 from rankintel.sources.pages import fetched, stored_pages
-from rankintel.sources.tables import append_history, before_run, folder_of, moment, read_table, write_keyed, write_staged
+from rankintel.sources.tables import before_run, folder_of, moment, read_table, write_keyed, write_staged
+from rankintel.sources.versions import append_attempt, attempts, new_attempt, publish, read_grown, run_name
 
 
 @dataclass
@@ -173,8 +174,10 @@ def run_batch(
     Both lie on shared storage. keyword_products and shop_products are the first result of `read_keywords`.
 
     Each table is written once and read back before a later step uses it, so no step repeats another's work.
-    Repeating a call rewrites the same version and replaces the rows that the run has appended. A version that is
-    read is never written over: tables_out must not be the root of a folder in `folders`.
+    A call writes into places of its own and publishes them with its last write (see `versions`): one that breaks off
+    changes nothing that readers see, and a repeated one replaces all that the run had published, also by no rows.
+    `published_folders` tells the folders to start the next run from. tables_out must not be the root of a folder in
+    `folders`.
     """
     opt = options or RunOptions()
     now = moment(run_at)
@@ -183,14 +186,18 @@ def run_batch(
     if clash:
         raise ValueError(f"tables_out holds the tables that are read: {', '.join(clash)}")
     tables = {name: read_table(spark, places.get(name), name) for name in KEYED_TABLES}
-    tables |= {name: read_table(spark, folder_of(appended, name), name) for name in APPENDED_TABLES}
+    attempt, counted = new_attempt(run_at), attempts(spark, appended)
+    out, grown = folder_of(tables_out, attempt), []
+    tables |= {name: read_grown(spark, appended, name, counted.get(name, {})) for name in APPENDED_TABLES}
 
     def keep(name: str, df: DataFrame) -> None:
-        tables[name] = write_keyed(df, tables_out, name)
-        places[name] = folder_of(tables_out, name)
+        tables[name] = write_keyed(df, out, name)
+        places[name] = folder_of(out, name)
 
     def append(name: str, df: DataFrame, stamp: str = "scraped_at") -> None:
-        tables[name] = append_history(df, appended, name, stamp, run_at)
+        append_attempt(df, appended, name, attempt, stamp)
+        grown.append(name)
+        tables[name] = read_grown(spark, appended, name, counted.get(name, {}) | {run_name(run_at): attempt})
 
     def of_run(df: DataFrame) -> DataFrame:
         dated = df.where(F.col("run_date") == F.to_date(now)) if "run_date" in df.columns else df
@@ -227,7 +234,7 @@ def run_batch(
         todo = select_unclassified(
             tables["serp_results"], tables["classifications"], opt.our_domains, opt.classify_limit
         )
-        labels = write_staged(product_labels(todo, corpora.products, opt), tables_out, "run_labels")
+        labels = write_staged(product_labels(todo, corpora.products, opt), out, "run_labels")
         labelled = upsert_replace(tables["classifications"], classification_row(labels, now), ["url"], ["classified_at"])
         keep("classifications", labelled)
         append("product_snapshots", product_snapshot_rows(labels, registry, tables["product_snapshots"], now))
@@ -250,9 +257,11 @@ def run_batch(
         keep("shop_serp_results", upsert_replace(tables["shop_serp_results"], found, ["query", "position"], ["scraped_at"]))
     if corpora.listings is not None:
         todo = select_unscraped_listings(tables["shop_serp_results"], tables["shop_listings"], opt.listings_limit)
-        rows = write_staged(listing_rows(todo, corpora.listings, opt, now), tables_out, "run_listings")
+        rows = write_staged(listing_rows(todo, corpora.listings, opt, now), out, "run_listings")
         listings = upsert_replace_multi(tables["shop_listings"], rows, [["url"], ["listing_id"]], ["scraped_at", "url"])
         keep("shop_listings", listings)
 
-    counted = ("serp_results", "serp_snapshots", "competitors", "product_pages", "product_snapshots", "classifications")
-    return RunResult(tables, places, run_summary(*[tables[name] for name in counted]))
+    rows = {name: read_grown(spark, appended, name, {run_name(run_at): attempt}).count() for name in grown}
+    publish(spark, appended, run_at, attempt, places, rows)
+    counted_tables = ("serp_results", "serp_snapshots", "competitors", "product_pages", "product_snapshots", "classifications")
+    return RunResult(tables, places, run_summary(*[tables[name] for name in counted_tables]))

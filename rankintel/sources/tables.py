@@ -41,8 +41,14 @@ def read_table(spark: SparkSession, folder: str | None, name: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, root: str, views: bool = False) -> dict[str, DataFrame]:
-    """All tables under a root, optionally registered as temporary views of the same names."""
-    tables = {name: read_table(spark, folder_of(root, name), name) for name in schemas.TABLES}
+    """All tables under a root, optionally registered as temporary views of the same names.
+
+    Of growing tables that runs have published there (see `versions`), only what counts is read.
+    """
+    from rankintel.sources.versions import attempts, read_grown
+
+    counted = attempts(spark, root)
+    tables = {name: read_grown(spark, root, name, counted[name]) if name in counted else read_table(spark, folder_of(root, name), name) for name in schemas.TABLES}
     if views:
         for name, table in tables.items():
             table.createOrReplaceTempView(name)

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankintel.operators.results import list_serp_results, similar_queries
+from rankintel.plans import batch
 from rankintel.plans.batch import Corpora, RunOptions, _pages_of, latest_digest, newest_fetch, run_batch
 from rankintel.sources.keywords import read_keywords
 from rankintel.sources.tables import append_history, before_run, load_tables, moment, read_table
+from rankintel.sources.versions import attempts, manifests, published_folders
 
 FETCHED = datetime(2024, 1, 1)
 SHOP = "https://www.etsy.com/listing"
@@ -73,7 +75,7 @@ def outcome(spark, tmp_path_factory):
     )
     second = run(*arguments)
     seen = {name: df.count() for name, df in second.tables.items()}, second.summary.first()
-    # The repeated run rewrites the files of the second, so only its own tables are read from here on.
+    # The repeated run replaces what the second published, so its tables are read from here on.
     return first, counts, digest, run(*arguments), seen, root
 
 
@@ -189,3 +191,69 @@ def test_selected_pages_are_found_where_they_lie(spark):
     assert found.join(selected, "url", "left_semi").count() == 40
     assert found.count() < 100
     assert _pages_of(selected.limit(0), corpus).count() == 0
+
+
+class Killed(Exception):
+    pass
+
+
+def contents(tables):
+    return {name: sorted(str(r.asDict()) for r in df.collect()) for name, df in tables.items()}
+
+
+@pytest.fixture
+def small_batch(spark, tmp_path):
+    """A run over two searches and two pages, by root folder, day and searches."""
+    keywords = tmp_path / "keywords.json"
+    keywords.write_text(json.dumps([{"product_handle": "ring", "product_title": "Ring", "our_url": "https://www.ours.com/ring", "queries": ["gold ring", "band"]}]))
+    products, _ = read_keywords(spark, str(keywords))
+    sold = [("https://a.com/1", product_page(100, "14k solid gold ring")), ("https://b.com/2", product_page(50, "gold plated brass band"))]
+
+    def run(root, day, serp):
+        corpora = Corpora(serp=pages(spark, "query", serp), products=pages(spark, "url", sold))
+        appended = str(tmp_path / root / "appended")
+        at = datetime(2024, 1, day)
+        return run_batch(spark, products, corpora, published_folders(spark, appended, at), str(tmp_path / root / f"v{day}"), appended, at)
+
+    return run
+
+
+def test_a_run_that_breaks_off_leaves_what_was_published(spark, small_batch, tmp_path, monkeypatch):
+    searches = [("gold ring", search_page("https://a.com/1", "https://b.com/2"))], [("gold ring", search_page("https://b.com/2", "https://c.com/3")), ("band", search_page("https://a.com/1"))]
+    small_batch("clean", 1, searches[0])
+    clean = contents(small_batch("clean", 2, searches[1]).tables)
+    small_batch("broken", 1, searches[0])
+    appended = str(tmp_path / "broken" / "appended")
+    before, folders = contents(load_tables(spark, appended)), published_folders(spark, appended)
+    for last in (1, 3, 8):
+        written = []
+        with monkeypatch.context() as patch:
+            for name in ("write_keyed", "append_attempt", "publish"):
+                own = getattr(batch, name)
+
+                def stopped(*given, own=own):
+                    if len(written) == last:
+                        raise Killed
+                    written.append(1)
+                    return own(*given)
+
+                patch.setattr(batch, name, stopped)
+            with pytest.raises(Killed):
+                small_batch("broken", 2, searches[1])
+        assert len(written) == last
+        assert contents(load_tables(spark, appended)) == before
+        assert published_folders(spark, appended) == folders
+    again = small_batch("broken", 2, searches[1])
+    assert contents(again.tables) == clean
+    assert contents(load_tables(spark, appended)) == {name: clean[name] if name in attempts(spark, appended) else [] for name in clean}
+
+
+def test_a_repeat_without_rows_leaves_none(spark, small_batch, tmp_path):
+    small_batch("empty", 1, [("gold ring", search_page("https://a.com/1"))])
+    appended = str(tmp_path / "empty" / "appended")
+    assert load_tables(spark, appended)["serp_snapshot_results"].count() == 1
+    small_batch("empty", 1, [("gold ring", "<p>nothing</p>")])
+    rows = {r.name: r.n_rows for r in manifests(spark, appended).where("number = 2 AND folder IS NULL").collect()}
+    assert rows["serp_snapshot_results"] == 0
+    assert published_folders(spark, appended, datetime(2024, 1, 1)) == {}
+    assert load_tables(spark, appended)["serp_snapshot_results"].count() == 0
