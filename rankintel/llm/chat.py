@@ -49,7 +49,8 @@ def rotate(
     name = F.when(role == "user", F.col("__speaker"))
     header = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" "), F.replace(name, F.lit("<|"), F.lit("< |"))), F.lit("")), F.lit(CLOSE))
     body = F.concat(_clean(F.col("__text")), F.lit(END))
-    block = F.floor(F.coalesce(F.col("__turn").cast("double"), F.lit(0.0)) / BLOCK_TURNS)
+    # A null turn comes before all others, and so does its block: below that of any number a turn can be.
+    block = F.coalesce(F.floor(F.col("__turn").cast("double") / BLOCK_TURNS), F.lit(-(1 << 62)))
     shown = rows.join(participants, "__conv").select(
         "*", block.alias("__block"), role.alias("__role"), name.alias("__name"), F.concat(header, body).alias("__segment"), F.length(header).alias("__head")
     )

@@ -264,4 +264,5 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     # The other columns travel with the text, so that rows which repeat a key keep what is theirs.
     found = marked(_keyed(docs, key, text, rest))
-    return found.select(*[F.col("rest")[c].alias(c) for c in rest], "packed", "hashes").mapInArrow(run, schema).select(docs.columns)
+    # They go to the task by place, so that their names can be any.
+    return found.select(*[F.col("rest")[c].alias(f"__{i}") for i, c in enumerate(rest)], "packed", "hashes").mapInArrow(run, schema).select(docs.columns)
