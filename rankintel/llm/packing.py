@@ -35,7 +35,7 @@ RANK_GROUPS = 256
 #: Branches that the search may open before it settles for its incumbent.
 SEARCH_NODES = 24
 #: Bytes of words and ids that an encoder remembers, about; it lives as long as its task.
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 96_000_000
 ENTRY_BYTES = 240
 
 PIECES = "piece integer, start long, length long, ids_crc32 long"
