@@ -21,10 +21,18 @@ def _whole(value: Column, sign: str = "") -> Column:
     return F.format_string(f"%{sign}d", F.bround(value, 0).cast("bigint"))
 
 
-def digest_rows(entrants: DataFrame, dropouts: DataFrame, moves: DataFrame, shifts: DataFrame, cap: int = LINES) -> DataFrame:
+def digest_rows(
+    entrants: DataFrame,
+    dropouts: DataFrame,
+    moves: DataFrame,
+    shifts: DataFrame,
+    cap: int = LINES,
+    all_moves: DataFrame | None = None,
+) -> DataFrame:
     """section, rank, icon, subject, detail, section_total, overflow; no rows when nothing changed.
 
-    The top lines are pruned per section before the shuffle; totals are a separate count.
+    The top lines are pruned per section before the shuffle; totals are a separate count. With `all_moves`, its n_pairs
+    are what the price section totals, and `moves` need hold only the pairs that can be among the first lines.
     """
 
     def text(c: str) -> Column:
@@ -67,7 +75,10 @@ def digest_rows(entrants: DataFrame, dropouts: DataFrame, moves: DataFrame, shif
             )
         )
     )
-    totals = lines.groupBy("section_no").agg(F.sum("_size").alias("section_total"))
+    sizes = lines.select("section_no", "_size")
+    if all_moves is not None:
+        sizes = sizes.where("section_no != 3").union(all_moves.select(F.lit(3), "n_pairs"))
+    totals = sizes.groupBy("section_no").agg(F.sum("_size").alias("section_total"))
     first = Window.partitionBy("section_no").orderBy("_k0", "_k1", "_k2")
     top = lines.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= cap)
     names = F.array(*[F.lit(s) for s in SECTIONS])

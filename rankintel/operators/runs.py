@@ -15,6 +15,10 @@ TOP_DOMAINS = 5
 MIN_SHIFT = 3
 PRICE_CHANGE = 0.15
 
+#: Bands of price levels to a doubling of the price, and how far outside its price a probe is put.
+BANDS = 64
+PROBE_MARGIN = 1e-14
+
 
 def with_run_date(df: DataFrame) -> DataFrame:
     return df if "run_date" in df.columns else df.withColumn("run_date", F.to_date("scraped_at"))
@@ -107,40 +111,186 @@ def position_shifts(
     return _shifts(folded, min_shift)
 
 
+def _priced_days(snapshots: DataFrame, current: date, previous: date, key: str, *more: str) -> DataFrame:
+    """_key, price, _is_now of the two days' snapshots with a positive price."""
+    both = with_run_date(snapshots).where(F.col("run_date").isin(current, previous) & (F.col("price_usd") > 0))
+    return both.select(
+        F.col(key).alias("_key"), F.col("price_usd").alias("price"), (F.col("run_date") == F.lit(current)).alias("_is_now"), *more
+    )
+
+
+def _change(old: Column, new: Column) -> Column:
+    """Signed change in percent."""
+    return (new - old) / old * 100
+
+
+def _moved(old: Column, new: Column, pct: float) -> Column:
+    return F.abs(new - old) / old > pct
+
+
+def _urls(products: DataFrame, key: str) -> DataFrame:
+    return products.select(F.col(key).alias("_key"), F.col("url").alias("url"))
+
+
 def price_moves(
     products: DataFrame,
     snapshots: DataFrame,
     current: date,
     previous: date,
     pct: float = PRICE_CHANGE,
-    mode: str = "latest",
     key: str = "url",
     order: Sequence[str] = ("scraped_at",),
 ) -> DataFrame:
-    """Products whose positive price moved by more than `pct`: url, old_price, new_price, pct, n_pairs.
+    """Products whose last positive price of the day moved by more than `pct`: url, old_price, new_price, pct, n_pairs.
+
+    One row per product (n_pairs is 1); both days fold into one aggregate. `price_move_ranges` looks at every price
+    of the two days.
+    """
+    days = _priced_days(snapshots, current, previous, key, *[c for c in order if c != key])
+    last = F.struct(*[F.col("_key") if c == key else F.col(c) for c in order])
+    # The order is NULL off the day, and rows of NULL order never win.
+    newest = days.groupBy("_key").agg(
+        F.max_by("price", F.when(~F.col("_is_now"), last)).alias("old_price"),
+        F.max_by("price", F.when(F.col("_is_now"), last)).alias("new_price"),
+    )
+    old, new = F.col("old_price"), F.col("new_price")
+    return newest.where(_moved(old, new, pct)).join(_urls(products, key), "_key").select(
+        "url", "old_price", "new_price", _change(old, new).alias("pct"), F.lit(1).cast("bigint").alias("n_pairs")
+    )
+
+
+def _price_levels(snapshots: DataFrame, current: date, previous: date, key: str) -> DataFrame:
+    """_key, price, then, now: how many snapshots of each day show a product at a price."""
+    now = F.col("_is_now").cast("bigint")
+    return _priced_days(snapshots, current, previous, key).groupBy("_key", "price").agg(
+        F.sum(1 - now).alias("then"), F.sum(now).alias("now")
+    )
+
+
+def price_move_ranges(
+    products: DataFrame, snapshots: DataFrame, current: date, previous: date, pct: float = PRICE_CHANGE, key: str = "url"
+) -> DataFrame:
+    """Every price of one day against every price of the other, folded to one row per product that moved.
+
+    url, n_pairs (pairs of snapshots further apart than `pct`), old_price, new_price and pct of the largest such move,
+    smallest_pct of the smallest; of equally large moves the rise counts. NULL and non-positive prices take no part.
+
+    No pairs are made. The older day's price levels and two probes for each newer level (the prices from which on the
+    older level is far enough below or above) are sorted together, and running counts tell how many snapshots lie
+    beyond a probe: linear in the levels but for the sort. A product's levels are sorted in bands of about one
+    percent, and a band's neighbours reach it as one summary row each, so that a product with very many levels is not
+    held to one task. Probes lie a little outside, and the level next to one is tested itself; the counts are exact
+    unless two price levels differ by less than one part in 10^13.
+    """
+    levels = _price_levels(snapshots, current, previous, key)
+    price = F.col("price")
+
+    def row(when: Column, at: Column, rise: bool | None, old: Column, n: str) -> Column:
+        return F.when(when, F.struct(at.alias("at"), F.lit(rise).alias("rise"), old.alias("old"), F.col(n).alias("n")))
+
+    level = F.struct(price.alias("price"), F.col("then").alias("n"))
+    marks = [
+        row(F.col("then") > 0, price, None, level, "then"),
+        row(F.col("now") > 0, price / (1 + pct) * (1 - PROBE_MARGIN), True, F.lit(None).cast("struct<price:double,n:bigint>"), "now"),
+    ]
+    if pct < 1:  # no price falls by all of itself
+        marks.append(
+            row(F.col("now") > 0, price / (1 - pct) * (1 + PROBE_MARGIN), False, F.lit(None).cast("struct<price:double,n:bigint>"), "now")
+        )
+    placed = (
+        levels.withColumn("price", price.cast("double"))
+        .select("_key", "price", F.explode(F.array_compact(F.array(*marks))).alias("_m"))
+        .select("_key", "price", "_m.*")
+        .withColumn("band", F.floor(F.log2("at") * BANDS).cast("int"))
+    )
+    older = F.when(F.col("rise").isNull(), F.col("n")).otherwise(0)
+
+    # Inside a band: older snapshots up to a row, the older level before it and the one behind it.
+    up = Window.partitionBy("_key", "band").orderBy("at", "rise").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_key", "band").orderBy(F.desc("at"), F.desc("rise")).rowsBetween(Window.unboundedPreceding, 0)
+    probes = (
+        placed.withColumn("_below", F.sum(older).over(up))
+        .withColumn("_low", F.last("old", ignorenulls=True).over(up))
+        .withColumn("_high", F.last("old", ignorenulls=True).over(down))
+        .where("rise IS NOT NULL")
+    )
+
+    # Between bands: a summary row for each, at most BANDS for a doubling of the price.
+    bands = placed.groupBy("_key", "band").agg(F.sum(older).alias("_n"), F.min("old").alias("_first"), F.max("old").alias("_last"))
+    before = Window.partitionBy("_key").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_key").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_key")
+    around = bands.select(
+        "_key",
+        "band",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lower"),
+        F.last("_last", ignorenulls=True).over(before).alias("_lower_level"),
+        F.last("_first", ignorenulls=True).over(after).alias("_upper_level"),
+        F.sum("_n").over(whole).alias("_total"),
+        F.min("_first").over(whole)["price"].alias("_least"),
+        F.max("_last").over(whole)["price"].alias("_most"),
+    )
+
+    low, high = F.coalesce("_low", "_lower_level"), F.coalesce("_high", "_upper_level")
+    below, rise = F.col("_below") + F.col("_lower"), F.col("rise")
+    near, sure = F.when(rise, high).otherwise(low), F.when(rise, low).otherwise(high)
+    near_counts = F.coalesce(_moved(near["price"], price, pct) & F.when(rise, near["price"] < price).otherwise(near["price"] > price), F.lit(False))
+    beyond = F.when(rise, below).otherwise(F.col("_total") - below) + F.when(near_counts, near["n"]).otherwise(0)
+    edge = F.when(near_counts, near["price"]).otherwise(sure["price"])
+    far = F.when(rise, F.col("_least")).otherwise(F.col("_most"))
+
+    def ranked(old: Column, sign: int) -> Column:
+        change = _change(old, price)
+        return F.struct((sign * F.abs(change)).alias("size"), change.alias("pct"), old.alias("old"), price.alias("new"))
+
+    counted = probes.join(around, ["_key", "band"]).select("_key", "price", rise, "n", beyond.alias("_beyond"), edge.alias("_edge"), far.alias("_far"))
+    folded = counted.where("_beyond > 0").groupBy("_key").agg(
+        F.sum(F.col("n") * F.col("_beyond")).alias("n_pairs"),
+        F.max(ranked(F.col("_far"), 1)).alias("_largest"),
+        F.max(ranked(F.col("_edge"), -1)).alias("_smallest"),
+    )
+    return folded.join(_urls(products, key), "_key").select(
+        "url",
+        "n_pairs",
+        F.col("_largest.old").alias("old_price"),
+        F.col("_largest.new").alias("new_price"),
+        F.col("_largest.pct").alias("pct"),
+        F.col("_smallest.pct").alias("smallest_pct"),
+    )
+
+
+def largest_price_moves(
+    products: DataFrame,
+    snapshots: DataFrame,
+    current: date,
+    previous: date,
+    ranges: DataFrame,
+    n: int = 10,
+    pct: float = PRICE_CHANGE,
+    key: str = "url",
+) -> DataFrame:
+    """The pairs of price levels that can be among the n largest moves: url, old_price, new_price, pct, n_pairs.
 
-    mode="latest" compares the last priced snapshot of each day: one row per product. mode="all" compares every
-    price a product showed on one day with every one it showed on the other, so its output grows with the square of
-    a product's price levels; equal prices are counted before the join, so copies cost one row and n_pairs tells how
-    many snapshot pairs a row stands for.
+    `ranges` is what price_move_ranges gives. The n largest pairs belong to the n products with the largest moves, and
+    there to the n lowest and n highest levels of either day, since each further level has n better ones before it.
+    The urls of `products` are taken to be unique. At most 2 n levels of a day and product are paired.
     """
-    priced = with_run_date(snapshots).where(F.col("price_usd") > 0)
-
-    def day(run: date, price: str, rows: str) -> DataFrame:
-        shown = priced.where(F.col("run_date") == F.lit(run))
-        if mode == "latest":
-            newest = shown.groupBy(key).agg(F.max_by("price_usd", F.struct(*order)).alias(price))
-            return newest.withColumn(rows, F.lit(1).cast("bigint"))
-        return shown.groupBy(key, F.col("price_usd").alias(price)).agg(F.count(F.lit(1)).alias(rows))
-
-    step = F.col("new_price") - F.col("old_price")
-    moved = day(current, "new_price", "_now").join(day(previous, "old_price", "_then"), key).where(
-        F.abs(step) / F.col("old_price") > pct
-    )
-    # Hashed by price too, so that the pairs of a product with very many prices are not held to one task.
-    named = moved.repartition(key, "new_price").join(products.select(*dict.fromkeys([key, "url"])), key)
-    return named.select(
-        "url", "old_price", "new_price", (step / F.col("old_price") * 100).alias("pct"), (F.col("_now") * F.col("_then")).alias("n_pairs")
+    chosen = ranges.orderBy(F.desc(F.abs("pct")), F.col("url").cast("string")).limit(n).select("url")
+    wanted = F.broadcast(_urls(products, key).join(F.broadcast(chosen), "url"))
+    levels = _price_levels(snapshots, current, previous, key).join(wanted, "_key")
+
+    def ends(rows: str, price: str) -> DataFrame:
+        shown = levels.where(F.col(rows) > 0).select("url", F.col("price").alias(price), rows)
+        cuts = [
+            shown.withColumn("_r", F.row_number().over(Window.partitionBy("url").orderBy(o(price)))).where(F.col("_r") <= n).drop("_r")
+            for o in (F.asc, F.desc)
+        ]
+        return cuts[0].union(cuts[1]).distinct()
+
+    old, new = F.col("old_price"), F.col("new_price")
+    pairs = ends("then", "old_price").join(ends("now", "new_price"), "url")
+    return pairs.where(_moved(old, new, pct)).select(
+        "url", "old_price", "new_price", _change(old, new).alias("pct"), (F.col("then") * F.col("now")).alias("n_pairs")
     )
 
 

@@ -327,21 +327,18 @@ def position_shifts(b: Bound) -> DataFrame:
     return runs.position_shifts(b.snaps, *runs.latest_pair(b.snaps), query="query_grp")
 
 
-def _moves(b: Bound, mode: str) -> DataFrame:
-    current, previous = runs.latest_pair(b.prod_snaps)
-    return runs.price_moves(
-        b.comp_products, b.prod_snaps, current, previous, mode=mode, key="product_id", order=("scraped_at", "id")
-    )
+def _price_days(b: Bound) -> tuple:
+    return (b.comp_products, b.prod_snaps, *runs.latest_pair(b.prod_snaps))
 
 
 @query
 def price_moves(b: Bound) -> DataFrame:
-    return _moves(b, "all")
+    return runs.price_move_ranges(*_price_days(b), key="product_id")
 
 
 @query
 def price_moves_latest(b: Bound) -> DataFrame:
-    return _moves(b, "latest")
+    return runs.price_moves(*_price_days(b), key="product_id", order=("scraped_at", "id"))
 
 
 @query
@@ -353,7 +350,10 @@ def run_diffs(b: Bound) -> DataFrame:
 def digest(b: Bound) -> DataFrame:
     now, then = _tops(b)
     shifts = runs.position_shifts(b.snaps, *runs.latest_pair(b.snaps), query="query_grp")
-    return digest_rows(runs.entrants(now, then), runs.dropouts(now, then), _moves(b, "all"), shifts)
+    days = _price_days(b)
+    ranges = runs.price_move_ranges(*days, key="product_id")
+    largest = runs.largest_price_moves(*days, ranges, key="product_id")
+    return digest_rows(runs.entrants(now, then), runs.dropouts(now, then), largest, shifts, all_moves=ranges)
 
 
 # Reports.

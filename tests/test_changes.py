@@ -130,10 +130,66 @@ def test_price_moves(spark, rows):
     snaps = priced(spark, data)
     products = spark.createDataFrame([("same",), ("up",), ("free",), ("twice",), ("gone",)], "url string")
     shape = ("url", "old_price", "new_price", F.bround("pct", 6), "n_pairs")
-    assert rows(runs.price_moves(products, snaps, DAY2, DAY1, mode="all"), *shape) == [("twice", 10.0, 20.0, 100.0, 2), ("up", 100.0, 116.0, 16.0, 1)]
+    assert rows(runs.price_move_ranges(products, snaps, DAY2, DAY1), *shape) == [("twice", 10.0, 20.0, 100.0, 2), ("up", 100.0, 116.0, 16.0, 1)]
     assert rows(runs.price_moves(products, snaps, DAY2, DAY1), *shape) == [("up", 100.0, 116.0, 16.0, 1)]
 
 
+def all_pairs(data, pct):
+    """url -> every pair of an old and a new price that differ by more than pct, by two loops."""
+    found = {}
+    for url in {u for u, _, _ in data}:
+        then = [p for u, at, p in data if u == url and at[:10] == str(DAY1) and p and p > 0]
+        now = [p for u, at, p in data if u == url and at[:10] == str(DAY2) and p and p > 0]
+        pairs = [((new - old) / old * 100, old, new) for old in then for new in now if abs(new - old) / old > pct]
+        if pairs:
+            found[url] = pairs
+    return found
+
+
+@pytest.mark.parametrize("pct", [0.0, 0.15, 0.5, 1.5])
+def test_price_ranges_against_loops(spark, pct):
+    draw = random.Random(7)
+    data = []
+    for product in range(40):
+        # Few, close and round prices, so that pairs lie exactly at the threshold and copies are common.
+        prices = [draw.choice([20.0, 23.0, 10.0, 11.5, 17.0, 40.0, 46.0, 0.01, 1e6, 0.0, None]) for _ in range(12)]
+        prices += [round(draw.uniform(90, 140), 2) for _ in range(draw.randrange(30))]
+        days = [draw.choice([DAY1, DAY2]) for _ in prices]
+        data += [(f"u{product}", f"{day} 0{draw.randrange(10)}:00:00", price) for day, price in zip(days, prices, strict=True)]
+    products = spark.createDataFrame([(f"u{n}",) for n in range(40)], "url string")
+    snaps = priced(spark, data)
+    ranges = runs.price_move_ranges(products, snaps, DAY2, DAY1, pct)
+    got = {r.url: (r.n_pairs, r.pct, r.old_price, r.new_price, r.smallest_pct) for r in ranges.collect()}
+    pairs = all_pairs(data, pct)
+    want = {}
+    for url, found in pairs.items():
+        largest = max(found, key=lambda p: (abs(p[0]), p[0]))
+        want[url] = (len(found), *largest, max(found, key=lambda p: (-abs(p[0]), p[0]))[0])
+    assert got == want
+
+    top = runs.largest_price_moves(products, snaps, DAY2, DAY1, ranges, 10, pct)
+    seen = sorted({(-abs(p[0]), url, p[1], p[2]) for url, found in pairs.items() for p in found})
+    rows = sorted((-abs(r.pct), r.url, r.old_price, r.new_price) for r in top.collect())
+    assert [(size, url) for size, url, *_ in rows[:10]] == [(size, url) for size, url, *_ in seen[:10]]
+
+
+def test_many_price_levels_give_one_row(spark):
+    at = {0: DAY1, 1: DAY2}
+    snaps = spark.range(4000).selectExpr(
+        "'hot' url", f"timestamp(if(id % 2 = 0, '{at[0]}', '{at[1]}')) scraped_at", "double(100 + (id div 2) % 2000) price_usd"
+    )
+    products = spark.createDataFrame([("hot",)], "url string")
+    (row,) = runs.price_move_ranges(products, snaps, DAY2, DAY1).collect()
+    levels = range(100, 2100)
+    assert row.n_pairs == sum(abs(new - old) / old > 0.15 for old in levels for new in levels)
+    assert (row.old_price, row.new_price, row.pct) == (100.0, 2099.0, 1999 / 100 * 100)
+
+
+def test_price_ranges_without_rows(spark):
+    products = spark.createDataFrame([], "url string")
+    assert runs.price_move_ranges(products, priced(spark, []), DAY2, DAY1).collect() == []
+
+
 def test_one_run_has_no_pair(spark):
     assert runs.latest_pair(heads(spark, [("a", DAY1, 1, 1)])) == (DAY1, None)
     assert runs.latest_pair(heads(spark, [])) == (None, None)
