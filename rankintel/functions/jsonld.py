@@ -83,12 +83,12 @@ def offer_price(offer: Column) -> Column:
     return to_number(F.coalesce(given(offer["price"]), given(offer["low"])))
 
 
-def _leaves(block_no: int, text: str) -> Iterator[tuple[int, str, str]]:
+def _leaves(block_no: int, text: str, leaf_limit: int | None, broken_chars: int | None) -> Iterator[tuple[int, str, str]]:
     """(block, key, rendered scalar) for each leaf, depth first; list elements keep the list's key."""
     try:
         pending = [("", json.loads(text.strip()))]
     except ValueError:
-        yield block_no, "", text[:BROKEN_BLOCK_CHARS]
+        yield block_no, "", text[:broken_chars]
         return
     while pending:
         key, node = pending.pop()
@@ -98,19 +98,25 @@ def _leaves(block_no: int, text: str) -> Iterator[tuple[int, str, str]]:
             pending.extend((key, child) for child in reversed(node))
         else:
             shown = str(node).strip()
-            if 0 < len(shown) < LEAF_LIMIT:
+            if shown and (leaf_limit is None or len(shown) < leaf_limit):
                 yield block_no, key, shown
 
 
-@F.pandas_udf(LEAF_TYPE)
-def leaves_of(blocks: pd.Series) -> pd.Series:
-    """Leaves of every block of a page. Only the (usually empty) block arrays travel to Python."""
+def leaves_of(blocks: Column, leaf_limit: int | None = LEAF_LIMIT, broken_chars: int | None = BROKEN_BLOCK_CHARS) -> Column:
+    """Leaves of every block of a page. Only the (usually empty) block arrays travel to Python.
 
-    def page(texts):
-        found = (leaf for no, text in enumerate(texts) for leaf in _leaves(no, text))
-        return [
-            {"block": block, "seq": seq, "key": key, "value": value}
-            for seq, (block, key, value) in enumerate(found)
-        ]
+    Leaves of leaf_limit characters and more are left out, and an unreadable block is cut; None keeps both whole.
+    """
 
-    return blocks.map(page)
+    @F.pandas_udf(LEAF_TYPE)
+    def read(pages: pd.Series) -> pd.Series:
+        def page(texts):
+            found = (leaf for no, text in enumerate(texts) for leaf in _leaves(no, text, leaf_limit, broken_chars))
+            return [
+                {"block": block, "seq": seq, "key": key, "value": value}
+                for seq, (block, key, value) in enumerate(found)
+            ]
+
+        return pages.map(page)
+
+    return read(blocks)

@@ -38,6 +38,11 @@ def ellipsize(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
 
 
+def cut(text: Column, width: int | None) -> Column:
+    """The first `width` characters; all of them if it is None."""
+    return text if width is None else F.substring(text, 1, width)
+
+
 def to_number(text: Column) -> Column:
     """Parse a plain decimal number, NULL for anything else."""
     return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankintel.functions import labels as L
-from rankintel.functions.text import first_match, or_else, strip, to_number
-from rankintel.operators.page_text import REASON_CHARS
+from rankintel.functions.text import cut, first_match, or_else, strip, to_number
+from rankintel.operators.page_text import REASON_CHARS, page_guard
 
 # The label fields with the default of each, and the cuts of two of them.
 LABEL_DEFAULTS: dict[str, str | None] = {
@@ -85,7 +85,9 @@ def rule_labels(
     return df.withColumn(out, L.first_rule(F.col(text), rules, default))
 
 
-def _labels_by_rule(df: DataFrame, text: str, metal_rules) -> DataFrame:
+def _labels_by_rule(
+    df: DataFrame, text: str, metal_rules, title_chars: int | None = TITLE_CHARS, description_chars: int | None = DESCRIPTION_CHARS
+) -> DataFrame:
     words = F.col(text)
     named = df.withColumn("_metal", L.first_rule(words, metal_rules)).withColumn("_karat", L.first_rule(words, L.KARAT_RULES))
     metal, karat = F.col("_metal"), F.col("_karat")
@@ -95,8 +97,8 @@ def _labels_by_rule(df: DataFrame, text: str, metal_rules) -> DataFrame:
         "base_metal": L.first_rule(words, L.BASE_METAL_RULES),
         "price_usd": to_number(first_match(words, L.DOLLAR_PRICE)),
         "price_raw": first_match(words, L.DOLLAR_PRICE, 0),
-        "title": F.substring(F.substring_index(words, " | ", 1), 1, TITLE_CHARS),
-        "description": F.substring(words, 1, DESCRIPTION_CHARS),
+        "title": cut(F.substring_index(words, " | ", 1), title_chars),
+        "description": cut(words, description_chars),
         "materials": F.when(karat != "unknown", F.concat(karat, F.lit(" gold"))),
         "availability": L.first_rule(words, L.AVAILABILITY_RULES),
         "evidence": L.rule_quote(words, metal_rules),
@@ -110,16 +112,20 @@ def classify_products(
     text: str = "page_text",
     classifier: Classifier | None = None,
     metal_rules: tuple[L.Rule, ...] | list[L.Rule] = L.METAL_RULES,
+    title_chars: int | None = TITLE_CHARS,
+    description_chars: int | None = DESCRIPTION_CHARS,
 ) -> DataFrame:
     """Replace the text column by the label columns.
 
+    Rules read the whole text; the widths are those of the title and description they report (None: whole).
+
     `classifier` takes a pandas Series of texts and returns a DataFrame with any of the label columns; it
     runs on Arrow batches. Without one the ordered rules decide, inside the JVM.
     """
     kept = [c for c in df.columns if c != text and c not in LABEL_FIELDS]
     narrow = df.select(*kept, text)
     if classifier is None:
-        return _labels_by_rule(narrow, text, metal_rules).drop(text)
+        return _labels_by_rule(narrow, text, metal_rules, title_chars, description_chars).drop(text)
     fields = [f for f in narrow.schema.fields if f.name != text]
     label_types = [T.StructField(n, T.DoubleType() if n == "price_usd" else T.StringType()) for n in LABEL_FIELDS]
     schema = T.StructType(fields + label_types)
@@ -143,17 +149,37 @@ def label_pages(
     html_chars: str = "html_chars",
     text: str = "page_text",
 ) -> DataFrame:
-    """Guard and classify pages already reduced to their text; thin pages get the fallback labels."""
-    size = F.coalesce(F.col(html_chars), F.lit(0))
-    blank = F.coalesce(strip(F.col(text)), F.lit("")) == ""
-    reason = F.when(size < min_chars, F.format_string("empty page (%d chars)", size)).when(blank, F.lit(blank_reason))
-    judged = pages.withColumn("_reason", reason)
+    """Guard and classify pages already reduced to their text; thin pages get the fallback labels.
+
+    Rules label in one pass over the pages; a classifier of the user's own is not asked about thin pages.
+    """
     kept = [c for c in pages.columns if c not in (html_chars, text)]
-    thin = judged.where("_reason IS NOT NULL").select(*kept, *fallback_labels(F.col("_reason")))
-    good = classify_products(judged.where("_reason IS NULL").select(*kept, text), text, classifier)
+    reason = F.col("_reason")
+    judged = page_guard(pages, min_chars, text=text, blank_reason=blank_reason, out="_reason", chars=html_chars)
+    if classifier is None:
+        labelled = classify_products(judged, text)
+        thin = dict(zip(LABEL_FIELDS, fallback_labels(reason)))
+        return labelled.select(
+            *kept, *[F.when(reason.isNull(), F.col(n)).otherwise(thin[n]).alias(n) for n in LABEL_FIELDS]
+        )
+    thin = judged.where(reason.isNotNull()).select(*kept, *fallback_labels(reason))
+    good = classify_products(judged.where(reason.isNull()).select(*kept, text), text, classifier)
     return good.unionByName(thin)
 
 
+def unread_pages(labels: DataFrame, read: str, reason: Column) -> DataFrame:
+    """The fallback labels where the column `read` is NULL, because no page was there to be labelled; drops it."""
+    fallback = dict(zip(LABEL_FIELDS, fallback_labels(reason)))
+    found = F.col(read).isNotNull()
+    return labels.select(
+        *[
+            F.when(found, F.col(c)).otherwise(fallback[c]).alias(c) if c in fallback else F.col(c)
+            for c in labels.columns
+            if c != read
+        ]
+    )
+
+
 def classification_row(labels: DataFrame, classified_at: Column, url: str = "url") -> DataFrame:
     """The columns the label table keeps."""
     return labels.select(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankintel.functions.text import float_text, strip
+from rankintel.functions.text import cut, float_text, strip
 from rankintel.operators.previous import with_previous
 from rankintel.operators.upsert import last_per_key
 
@@ -87,14 +87,21 @@ def snapshot_change_flags(
     key: str = "url",
     order: Sequence[str] = ("scraped_at",),
     chunk: Column | None = None,
+    compared_chars: int | None = COMPARED_CHARS,
+    description_chars: int | None = DESCRIPTION_CHARS,
+    title_chars: int | None = TITLE_CHARS,
 ) -> DataFrame:
     """Add price_changed and description_changed against the product's preceding snapshot.
 
-    With a product registry only registered products are kept. Stored texts are cut and defaulted.
+    With a product registry only registered products are kept. Stored texts are cut and defaulted, and descriptions
+    are compared by their first characters; a width of None takes the whole text. Whole descriptions are compared by
+    their hash, so that no long text goes along with the snapshot after it.
     """
     tracked = snapshots if products is None else snapshots.join(products.select(key), key, "left_semi")
     columns = set(tracked.columns)
-    trimmed = tracked.withColumn("_said", F.substring(strip(F.coalesce("description", F.lit(""))), 1, COMPARED_CHARS))
+    whole = strip(F.coalesce("description", F.lit("")))
+    said = F.when(whole == "", "").otherwise(F.sha2(whole, 256)) if compared_chars is None else cut(whole, compared_chars)
+    trimmed = tracked.withColumn("_said", said)
     seen = with_previous(trimmed, [key], list(order), ["price_usd", "_said"], chunk)
     before = F.col("previous")
     price = F.abs(F.col("price_usd") - before["price_usd"]) > PRICE_STEP
@@ -102,9 +109,9 @@ def snapshot_change_flags(
     flagged = seen.withColumn("price_changed", F.coalesce(price, F.lit(False))).withColumn(
         "description_changed", F.coalesce(said, F.lit(False))
     )
-    stored = {"description": F.substring(F.coalesce("description", F.lit("")), 1, DESCRIPTION_CHARS)}
+    stored = {"description": cut(F.coalesce("description", F.lit("")), description_chars)}
     if "title" in columns:
-        stored["title"] = F.substring(F.coalesce("title", F.lit("")), 1, TITLE_CHARS)
+        stored["title"] = cut(F.coalesce("title", F.lit("")), title_chars)
     for name in ("metal_type", "karat", "availability"):
         if name in columns:
             stored[name] = F.coalesce(name, F.lit("unknown"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankintel.functions.text import or_else
+from rankintel.functions.text import cut, or_else
 from rankintel.operators.lookup import attach, only_keywords, top_per_group
 
 # Default label, widths, label groups and the share boundaries of the two summaries (in percent).
@@ -62,15 +62,16 @@ def competitor_intel(
     keywords: Sequence | DataFrame | None = None,
     limit: int | None = 15,
     per_query: bool = False,
+    evidence_chars: int | None = EVIDENCE_CHARS,
 ) -> DataFrame:
     """Ranked results with page title and labels, defaults filled in.
 
     The limit is global in query order, so late keywords of a long list can come out empty; per_query
     applies it to each query. Labels and pages are unique per url and never multiply rows, so the limit is
-    taken before the joins.
+    taken before the joins, and so is the cut of the evidence (None: whole).
     """
     ranked = _ranked(serp.select("query", "position", "url", F.col("title").alias("_title")), keywords, limit, per_query)
-    labels = classes.select("url", *_label_columns(classes))
+    labels = classes.select("url", *_label_columns(classes)).withColumn("evidence", cut(F.col("evidence"), evidence_chars))
     joined = attach(ranked, [pages.select("url", "page_title"), labels], bound=_bound(limit, per_query))
     shown = joined.select(
         "query",
@@ -81,7 +82,7 @@ def competitor_intel(
         or_else(F.col("karat"), UNKNOWN).alias("karat"),
         or_else(F.col("base_metal"), UNKNOWN).alias("base_metal"),
         "price_usd",
-        F.substring(F.coalesce("evidence", F.lit("")), 1, EVIDENCE_CHARS).alias("evidence"),
+        F.coalesce("evidence", F.lit("")).alias("evidence"),
         or_else(F.col("confidence"), UNKNOWN).alias("confidence"),
     )
     return shown if limit is None or per_query else shown.orderBy("query", "position")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankintel.functions.jsonld import block_roots, first_offer, kind, offer_price, part_at, text_at, typed
 from rankintel.functions.labels import DOLLAR_PRICE
-from rankintel.functions.text import first_match, or_else, strip, to_number
+from rankintel.functions.text import cut, first_match, or_else, strip, to_number
 from rankintel.functions.urls import listing_id_of
 from rankintel.operators.page_text import TEXT_CHARS, TITLE
 
@@ -28,11 +28,14 @@ def _words(html: Column, pattern: str) -> Column:
     return F.coalesce(F.from_json(first_match(html, pattern), "array<string>"), F.array().cast("array<string>"))
 
 
-def listing_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
+def listing_metadata(
+    pages: DataFrame, html: str = "html", description_chars: int | None = DESCRIPTION_CHARS
+) -> DataFrame:
     """title, description, price_usd, shop, materials, tags, reviews and favorites of each page.
 
     Structured product data decides, the first non-empty value across all blocks; the page title and the
-    first dollar amount stand in where it says nothing. The html itself is dropped.
+    first dollar amount stand in where it says nothing. The html itself is dropped. A description is cut to its width;
+    None keeps it whole.
     """
     kept = [c for c in pages.columns if c != html]
     page = F.col(html)
@@ -46,9 +49,7 @@ def listing_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
     read = pages.withColumn("_products", products).select(
         *kept,
         _first_given(F.transform("_products", lambda p: text_at(p, "$.name"))).alias("_name"),
-        F.substring(_first_given(F.transform("_products", lambda p: text_at(p, "$.description"))), 1, DESCRIPTION_CHARS).alias(
-            "description"
-        ),
+        cut(_first_given(F.transform("_products", lambda p: text_at(p, "$.description"))), description_chars).alias("description"),
         F.get(F.filter(F.transform(offers, offer_price), lambda v: v != 0), F.lit(0)).alias("_price"),
         _first_given(F.flatten(F.transform("_products", shops))).alias("shop"),
         _words(page, MATERIAL_ARRAY).alias("materials"),
@@ -71,8 +72,8 @@ def listing_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def classification_text(meta: DataFrame, out: str = "page_text", max_chars: int = TEXT_CHARS) -> DataFrame:
-    """Add the text a listing is classified by; facts without a value are left out."""
+def classification_text(meta: DataFrame, out: str = "page_text", max_chars: int | None = TEXT_CHARS) -> DataFrame:
+    """Add the text a listing is classified by; facts without a value are left out. A width of None keeps it whole."""
 
     def part(label: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(f"{label}: "), value))
@@ -84,7 +85,7 @@ def classification_text(meta: DataFrame, out: str = "page_text", max_chars: int
         part("Materials", F.array_join("materials", ", ")),
         part("Tags", F.array_join("tags", ", ")),
     )
-    return meta.withColumn(out, F.substring(text, 1, max_chars))
+    return meta.withColumn(out, cut(text, max_chars))
 
 
 def listing_row(facts: DataFrame, scraped_at: Column) -> DataFrame:

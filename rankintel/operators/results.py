@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankintel.functions.text import or_else
+from rankintel.functions.text import cut, or_else
 from rankintel.operators.lookup import attach, top_per_group
 
 # Widths, list lengths and the two spellings of the missing label.
@@ -38,9 +38,9 @@ def _bound(query, limit: int | None) -> int | None:
 
 
 def list_serp_results(
-    serp: DataFrame, classes: DataFrame, query=None, limit: int | None = 20, offset: int = 0
+    serp: DataFrame, classes: DataFrame, query=None, limit: int | None = 20, offset: int = 0, snippet_chars: int | None = SNIPPET_CHARS
 ) -> DataFrame:
-    """A page of results with labels, the query's total and whether more follow."""
+    """A page of results with labels, the query's total and whether more follow; a snippet width of None keeps it whole."""
     page = _page_of(serp, query, limit, offset)
     labels = classes.select("url", "metal_type", "karat", _optional(classes, "confidence"))
     joined = attach(page, [labels], bound=_bound(query, limit)).join(_totals(serp, query), "query")
@@ -50,7 +50,7 @@ def list_serp_results(
         "position",
         "url",
         F.coalesce("title", F.lit("")).alias("title"),
-        F.substring(F.coalesce(_optional(serp, "snippet"), F.lit("")), 1, SNIPPET_CHARS).alias("snippet"),
+        cut(F.coalesce(_optional(serp, "snippet"), F.lit("")), snippet_chars).alias("snippet"),
         F.col("metal_type").isNotNull().alias("classified"),
         or_else(F.col("metal_type"), NOT_CLASSIFIED).alias("metal_type"),
         F.coalesce("karat", F.lit("")).alias("karat"),

@@ -18,9 +18,12 @@ def select_uncrawled(results: DataFrame, pages: DataFrame, limit: int | None = N
 
 
 def select_unclassified(
-    results: DataFrame, classes: DataFrame, exclude_domains: Sequence[str] = (), limit: int | None = 50
+    results: DataFrame, classes: DataFrame, exclude_domains: Sequence[str] = (), limit: int | None = None
 ) -> DataFrame:
-    """url and newest sighting of result urls without a label, newest first; our own sites are left out."""
+    """url and newest sighting of result urls without a label; our own sites are left out.
+
+    With a limit, the newest sightings, newest first.
+    """
     fresh = results.select("url", "scraped_at")
     for name in exclude_domains:
         fresh = fresh.where(~F.col("url").ilike(f"%{name}%"))

@@ -9,13 +9,19 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankintel.operators.classify import Classifier, classification_row, label_pages
+from rankintel.operators.classify import Classifier, classification_row, label_pages, unread_pages
 from rankintel.operators.deltas import detect_deltas, snapshot_change_flags
 from rankintel.operators.digest import digest_rows
 from rankintel.operators.listing import classification_text, listing_metadata, listing_row
 from rankintel.operators.lookup import only_keywords
 from rankintel.operators.marketplace import MARKETPLACE_DOMAIN, marketplace_results
-from rankintel.operators.page_text import LISTING_PAGE_CHARS, PRODUCT_PAGE_CHARS, html_to_text
+from rankintel.operators.page_text import (
+    BODY_CHARS,
+    LISTING_PAGE_CHARS,
+    PRODUCT_PAGE_CHARS,
+    TEXT_CHARS,
+    html_to_text,
+)
 from rankintel.operators.ranked_links import ranked_links
 from rankintel.operators.registry import (
     competitor_product_registry,
@@ -50,10 +56,15 @@ class Corpora:
 
 @dataclass
 class RunOptions:
-    """What a run does. The limits bound its work selections; None means everything."""
+    """What a run does. The limits bound its work selections; None means everything.
+
+    body_chars and text_chars cut what a classifier is given; the rules, used without one, read whole texts.
+    """
 
     our_domains: Sequence[str] = ()
     classifier: Classifier | None = None
+    body_chars: int | None = BODY_CHARS
+    text_chars: int | None = TEXT_CHARS
     skip_serp: bool = False
     skip_pages: bool = True
     skip_classify: bool = False
@@ -109,23 +120,38 @@ def newest_fetch(pages: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(newest, "query").where(F.col("fetched_at").eqNullSafe(F.col("_newest"))).drop("_newest")
 
 
+def _labelled(selected: DataFrame, pages: DataFrame, min_chars: int, blank_reason: str, options: RunOptions) -> DataFrame:
+    """Selected urls with the labels of the newest page of each; one without a fetched page gets the fallback labels.
+
+    Rules label pages where they lie, so that whole texts pass no shuffle. A classifier of the user's own costs more
+    than a shuffle of its cut texts, and is asked about the newest pages only.
+    """
+    if options.classifier is not None:
+        return label_pages(_onto(selected, pages), min_chars, blank_reason, options.classifier)
+    labels = label_pages(pages, min_chars, blank_reason).withColumn("_read", F.lit(True))
+    return unread_pages(_onto(selected, labels), "_read", F.lit("empty page (0 chars)"))
+
+
 def product_labels(selected: DataFrame, corpus: DataFrame, options: RunOptions) -> DataFrame:
     """Labels of the selected urls; one without a fetched page gets the fallback labels."""
     pages = _pages_of(selected, corpus).withColumn("html_chars", F.length("html"))
-    texts = html_to_text(pages).select("url", "fetched_at", "html_chars", "page_text")
-    return label_pages(
-        _onto(selected, texts), PRODUCT_PAGE_CHARS, "could not extract text from HTML", options.classifier
-    )
+    whole = {"max_chars": None, "body_chars": None, "leaf_limit": None, "broken_chars": None}
+    widths = whole if options.classifier is None else {"max_chars": options.text_chars, "body_chars": options.body_chars}
+    texts = html_to_text(pages, **widths).select("url", "fetched_at", "html_chars", "page_text")
+    return _labelled(selected, texts, PRODUCT_PAGE_CHARS, "could not extract text from HTML", options)
 
 
 def listing_rows(selected: DataFrame, corpus: DataFrame, options: RunOptions, scraped_at: Column) -> DataFrame:
     """Listing table rows of the selected urls; a page too thin to read leaves its facts empty."""
     facts = ("title", "price_usd", "shop", "materials", "tags", "reviews", "favorites")
     pages = _pages_of(selected, corpus).withColumn("html_chars", F.length("html"))
-    read = _onto(selected, classification_text(listing_metadata(pages)))
+    if options.classifier is None:
+        read = classification_text(listing_metadata(pages, description_chars=None), max_chars=None)
+    else:
+        read = classification_text(listing_metadata(pages), max_chars=options.text_chars)
     readable = F.col("html_chars") >= LISTING_PAGE_CHARS
-    packed = read.select("url", "html_chars", "page_text", F.when(readable, F.struct(*facts)).alias("_page"))
-    labels = label_pages(packed, LISTING_PAGE_CHARS, "could not extract text", options.classifier)
+    packed = read.select("url", "fetched_at", "html_chars", "page_text", F.when(readable, F.struct(*facts)).alias("_page"))
+    labels = _labelled(selected, packed, LISTING_PAGE_CHARS, "could not extract text", options)
     rows = labels.select(
         "url", "_page.*", F.col("price_usd").alias("label_price"), "metal_type", "karat", "confidence"
     )

@@ -256,7 +256,7 @@ def select_unclassified(b: Bound) -> DataFrame:
 
 @query
 def select_unclassified_newest(b: Bound) -> DataFrame:
-    return selection.select_unclassified(b.web, _labelled_urls(b), ["BRAND-3.example.com"])
+    return selection.select_unclassified(b.web, _labelled_urls(b), ["BRAND-3.example.com"], limit=50)
 
 
 @query

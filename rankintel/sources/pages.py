@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankintel import schemas
-from rankintel.functions.text import first_match, strip
+from rankintel.functions.text import cut, first_match, strip
 from rankintel.operators.page_text import TITLE
 from rankintel.operators.upsert import first_per_key
 
@@ -29,14 +29,19 @@ def read_pages(
     return fetched(spark.read.schema(schemas.ddl(schema)).format(fmt).load(path))
 
 
-def stored_pages(pages: DataFrame, scraped_at: Column, existing: DataFrame | None = None) -> DataFrame:
-    """New page table rows: title and cut html, the first fetch per url, none for urls stored already."""
+def stored_pages(
+    pages: DataFrame, scraped_at: Column, existing: DataFrame | None = None, html_chars: int | None = STORED_CHARS
+) -> DataFrame:
+    """New page table rows: title and html, the first fetch per url, none for urls stored already.
+
+    The html is cut to its width before it is moved; None stores it whole.
+    """
     seen = "fetched_at" if "fetched_at" in pages.columns else "url"
     rows = fetched(pages).select(
         "url",
         F.col(seen).alias("_seen"),
         F.coalesce(strip(first_match(F.col("html"), TITLE)), F.lit("")).alias("page_title"),
-        F.substring("html", 1, STORED_CHARS).alias("raw_html"),
+        cut(F.col("html"), html_chars).alias("raw_html"),
         scraped_at.alias("scraped_at"),
     )
     first = first_per_key(rows, ["url"], ["_seen"]).drop("_seen")

@@ -9,6 +9,7 @@ from rankintel.operators.listing import classification_text, listing_metadata, l
 from rankintel.operators.marketplace import fix_zero_positions, marketplace_results
 from rankintel.operators.page_text import html_to_text, jsonld_leaves, page_guard
 from rankintel.operators.ranked_links import ranked_links
+from rankintel.plans.batch import RunOptions, listing_rows, product_labels
 
 
 def jsonld(value):
@@ -253,3 +254,44 @@ def test_a_page_of_very_many_listings(spark):
     found = marketplace_results(pages).orderBy("query", "seq").collect()
     for name in ("marked", "named"):
         assert [r.listing_id for r in found if r.query == name] == [str(i) for i in range(48)]
+
+
+def test_widths_of_none_keep_whole_texts(spark):
+    long = "x" * 9000
+    page = f"<p>{long} vermeil</p>" + '<script type="application/ld+json">{"a": "%s"}</script>' % ("y" * 300)
+    df = spark.createDataFrame([(page,)], "html string")
+    (cut,) = html_to_text(df).collect()
+    assert "vermeil" not in cut.page_text and len(cut.page_text) == 3000
+    (whole,) = html_to_text(df, max_chars=None, body_chars=None).collect()
+    assert whole.page_text.endswith("vermeil ")  # a tag leaves a blank
+    assert [r.value for r in jsonld_leaves(df, leaf_limit=None).collect()] == ["y" * 300] and not jsonld_leaves(df).collect()
+    broken = spark.createDataFrame([('<script type="application/ld+json">%s</script>' % ("z" * 900),)], "html string")
+    assert [len(r.value) for r in jsonld_leaves(broken).collect()] == [500]
+    assert [len(r.value) for r in jsonld_leaves(broken, broken_chars=None).collect()] == [900]
+
+
+def test_rules_of_a_batch_read_whole_pages(spark):
+    product = {"@type": "Product", "name": "Ring", "description": "d " * 600 + "vermeil 14k"}
+    block = f'<script type="application/ld+json">{json.dumps(product)}</script>'
+    data = [
+        ("body", "<p>" + "a " * 5000 + "vermeil</p>", 1), ("leaf", block, 1), ("thin", "vermeil", 1),
+        ("twice", "<p>" + "a " * 400 + "vermeil</p>", 1), ("twice", "<p>" + "a " * 400 + "sterling silver</p>", 2), ("other", block, 1),
+    ]
+    corpus = spark.createDataFrame(data, "url string, html string, day int").selectExpr("url", "html", "make_timestamp(2024, 1, day, 0, 0, 0) fetched_at")
+    selected = spark.createDataFrame([("body",), ("leaf",), ("thin",), ("twice",), ("absent",)], "url string")
+    labels = {r.url: r for r in product_labels(selected, corpus, RunOptions()).collect()}
+    assert {u: r.metal_type for u, r in labels.items()} == {
+        "body": "vermeil", "leaf": "vermeil", "thin": "unknown", "twice": "sterling_silver", "absent": "unknown"
+    }
+    assert labels["absent"].evidence == "fallback: empty page (0 chars)" and labels["thin"].evidence == "fallback: empty page (7 chars)"
+    assert labels["absent"].confidence == "low" and labels["absent"].availability == "unknown"
+    shops = {r.url: r.metal_type for r in listing_rows(selected, corpus, RunOptions(), F.lit("2024-01-09").cast("timestamp")).collect()}
+    assert shops["leaf"] == "vermeil" and shops["absent"] == shops["thin"] == "unknown"
+
+    def asked(texts):
+        return pd.DataFrame({"metal_type": ["vermeil" if "vermeil" in t else "unknown" for t in texts]})
+
+    cut = {r.url: r.metal_type for r in product_labels(selected, corpus, RunOptions(classifier=asked)).collect()}
+    assert cut["body"] == "unknown" and cut["twice"] == "unknown"
+    wide = RunOptions(classifier=asked, body_chars=None, text_chars=None)
+    assert {r.url: r.metal_type for r in product_labels(selected, corpus, wide).collect()}["body"] == "vermeil"
