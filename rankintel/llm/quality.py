@@ -1,8 +1,8 @@
 """Quality classifier from weak labels.
 
 Several heuristic labellers vote on every document (junk, good, or no opinion). Their votes are counted by pattern over
-all documents, at most 3^k counts, and expectation-maximisation on these counts estimates how accurate each labeller is
-and how likely each pattern is junk. The posteriors are the labels of a linear scorer on hashed pairs of bytes, which is
+all documents, at most 3^k counts, and expectation-maximisation on these counts, with a class for good and one for each
+labeller's kind of junk, estimates how accurate each labeller is and how likely each pattern is junk. The posteriors are the labels of a linear scorer on hashed pairs of bytes, which is
 fitted on a sample of bounded size and then scores every document; it also decides where labellers abstain.
 """
 
@@ -23,7 +23,7 @@ FEATURES = 1_024
 THRESHOLD = 0.5
 EM_ROUNDS = 100
 PRIOR_FEATURES = 50
-FIT_ROUNDS = 150
+FIT_ROUNDS = 500
 JUNK, NONE, GOOD = 0, 1, 2
 
 _UPPER, _LOWER, _DIGIT = (np.arange(*r) for r in ((65, 91), (97, 123), (48, 58)))
@@ -102,25 +102,37 @@ def votes(docs: DataFrame, text: str = "text", into: str = "votes") -> DataFrame
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of "good" for each vote pattern, each labeller's vote probabilities by class, its accuracy.
 
-    `patterns` has a row of votes per pattern, `counts` how many documents vote so. It starts from the share of
-    good votes; the classes are thus tied to what the labellers mean by them.
+    `patterns` has a row of votes per pattern, `counts` how many documents vote so. The classes are good, and a kind of
+    junk for each labeller, which starts with the documents that this labeller votes against: junk is of several kinds,
+    most labellers know one, and within its kind the calm of the others says nothing. With a single class of junk they
+    would outvote the one that knows. A document that two labellers vote against may be of either kind.
     """
-    good, junk = (patterns == GOOD).sum(1), (patterns == JUNK).sum(1)
-    # A junk vote is rare and deliberate: one weighs as much as several good ones at the start.
-    posterior = (good + 1) / (good + 12 * junk + 2)
+    against, n_good = patterns == JUNK, (patterns == GOOD).sum(1)
+    n_junk, kinds = against.sum(1), patterns.shape[1]
+    # Where nobody speaks, good and junk are even.
+    calm = np.where(n_good > 0, 1.0, 0.5)
+    start = np.where(n_junk > 0, 0.0, calm)
+    shares = np.vstack([start, np.where(n_junk > 0, against.T / np.maximum(1, n_junk), (1 - calm) / kinds)])
     one_hot = np.stack([patterns == v for v in (JUNK, NONE, GOOD)], 2).astype(float)
+    # One vote of smoothing: on a kind that is not its own, a labeller votes as it does on all documents. That it is not
+    # against good documents is believed as firmly as the corpus is large: patterns of one junk vote fit the good class
+    # as well as their kind, and would drift.
+    usual = (np.einsum("p,plv->lv", counts, one_hot) + 1) / (counts.sum() + 3)
+    belief = np.repeat(usual[None], 1 + kinds, 0)
+    belief[0] += counts.sum() * usual * [0.0, 1.0, 1.0]
+    belief[np.arange(1, 1 + kinds), np.arange(kinds)] = [2.0, 1.0, 0.1]
     for _ in range(rounds):
-        weight = np.stack([(1 - posterior) * counts, posterior * counts])
-        prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        # One vote of smoothing, towards what the labeller means.
-        belief = np.array([[2.0, 1.0, 0.1], [0.1, 1.0, 2.0]])[:, None, :]
+        weight = shares * counts
+        prior = (weight.sum(1) + 1) / (weight.sum() + 1 + kinds)
         table = np.einsum("cp,plv->clv", weight, one_hot) + belief
         table /= table.sum(2, keepdims=True)
         chance = np.log(prior)[:, None] + np.einsum("plv,clv->cp", one_hot, np.log(table))
-        posterior = 1 / (1 + np.exp(np.clip(chance[0] - chance[1], -50, 50)))
-    right = prior[0] * table[0, :, JUNK] + prior[1] * table[1, :, GOOD]
-    spoken = right + prior[0] * table[0, :, GOOD] + prior[1] * table[1, :, JUNK]
-    return posterior, table, right / spoken
+        shares = np.exp(chance - chance.max(0))
+        shares /= shares.sum(0)
+    junk = prior[1:]
+    right = prior[0] * table[0, :, GOOD] + np.einsum("c,cl->l", junk, table[1:, :, JUNK])
+    wrong = prior[0] * table[0, :, JUNK] + np.einsum("c,cl->l", junk, table[1:, :, GOOD])
+    return shares[0], table, right / (right + wrong)
 
 
 class Scorer:

@@ -1,9 +1,11 @@
 """Fingerprints, near duplicates, repeated passages, quality and language against brute force and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,101 @@ def test_quality(spark):
     assert quality.classify(frame(spark, [])).count() == 0
 
 
+def em_by_document(votes, rounds):
+    """Posterior of "good" of each document, by loops over documents, classes and labellers; votes 0, 1, 2."""
+    n, k = len(votes), len(votes[0])
+    usual = [[(sum(v[j] == x for v in votes) + 1) / (n + 3) for x in range(3)] for j in range(k)]
+    shares = []
+    for v in votes:
+        against = [j for j in range(k) if v[j] == quality.JUNK]
+        if against:
+            shares.append([0.0] + [1 / len(against) if j in against else 0.0 for j in range(k)])
+        else:
+            calm = 1.0 if quality.GOOD in v else 0.5
+            shares.append([calm] + [(1 - calm) / k] * k)
+    for _ in range(rounds):
+        prior = [(sum(s[c] for s in shares) + 1) / (n + 1 + k) for c in range(1 + k)]
+        table = {}
+        for c in range(1 + k):
+            for j in range(k):
+                row = [usual[j][x] for x in range(3)]
+                if c == 0:
+                    row = [row[x] + (n * usual[j][x] if x != quality.JUNK else 0) for x in range(3)]
+                elif c == j + 1:
+                    row = [2.0, 1.0, 0.1]
+                for v, s in zip(votes, shares):
+                    row[v[j]] += s[c]
+                for x in range(3):
+                    table[c, j, x] = row[x] / sum(row)
+        shares = []
+        for v in votes:
+            chance = [prior[c] * math.prod(table[c, j, v[j]] for j in range(k)) for c in range(1 + k)]
+            shares.append([x / sum(chance) for x in chance])
+    return [s[0] for s in shares]
+
+
+def test_estimate_against_loops_over_documents():
+    rng = random.Random(3)
+    votes = [tuple(rng.choices([0, 1, 2], [1, 2, 8])[0] for _ in range(4)) for _ in range(150)] + [(1, 1, 1, 1), (0, 0, 0, 0)]
+    patterns = sorted(set(votes))
+    counts = np.array([votes.count(p) for p in patterns], float)
+    posterior, table, accuracy = quality.estimate(np.array(patterns), counts, 25)
+    by_pattern = dict(zip(patterns, posterior))
+    assert np.allclose([by_pattern[v] for v in votes], em_by_document(votes, 25), atol=1e-9)
+    assert np.allclose(table.sum(2), 1) and ((0 <= accuracy) & (accuracy <= 1)).all()
+
+
+def test_a_lone_labeller_is_not_outvoted():
+    # Nine in ten are plain; of the junk, each kind is known to one labeller and looks good to the others.
+    patterns = np.array([[2] * 5] + [[0 if i == j else 2 for j in range(5)] for i in range(5)])
+    for size in (1, 100, 1_000_000):
+        posterior, _, accuracy = quality.estimate(patterns, np.array([900, 20, 20, 20, 20, 20]) * size)
+        assert posterior[0] > 0.9 and (posterior[1:] < 0.1).all() and (accuracy > 0.8).all()
+
+
+def test_scorer_against_a_plain_mean():
+    rng = np.random.default_rng(5)
+    scorer = quality.Scorer(rng.normal(size=quality.FEATURES), -0.3, 0.2)
+    for text in ("the the night", "A1 ###", "x", "ä ö ü ä"):
+        seen = [32, *[97 if chr(b).islower() or b > 127 else 65 if chr(b).isupper() else 48 if chr(b).isdigit() else b for b in text.encode()], 32]
+        places = [(((a * 256 + b) * 2654435761) % 2**32 >> 20) % quality.FEATURES for a, b in zip(seen, seen[1:])]
+        words = text.split()
+        places += [quality.FEATURES - 1] * sum(a == b for a, b in zip(words, words[1:]))
+        total = sum(scorer.weights[p] for p in places) + quality.PRIOR_FEATURES * 0.2
+        expected = 1 / (1 + math.exp(-(total / (len(places) + quality.PRIOR_FEATURES) - 0.3)))
+        assert math.isclose(scorer(np.frombuffer(text.encode(), np.uint8)), expected, rel_tol=1e-9)
+
+
+def chunks_byte_by_byte(data):
+    """Lengths of chunks, the gear hash of the last 64 bytes summed anew at each byte."""
+    ends, start = [], 0
+    while start < len(data):
+        for end in range(start + 1, len(data) + 1):
+            size = end - start
+            known = data[max(0, end - 64) : end]
+            rolled = sum(int(fingerprint.GEAR[b]) << i for i, b in enumerate(reversed(known))) % 2**64
+            bits = 8 if size < 64 else 4  # from the wanted length on, fewer are asked for
+            if end == len(data) or size == 256 or (size >= 24 and rolled >> (64 - bits) == 0):
+                break
+        ends.append(end)
+        start = end
+    return ends
+
+
+def test_chunk_boundaries_byte_by_byte():
+    rng = random.Random(12)
+    texts = [b"", b"x", b"y" * 23, b"z" * 700, " ".join(rng.choices(WORDS, k=500)).encode(), "äöü ß".encode() * 90]
+    texts += [bytes(rng.choices(range(256), k=n)) for n in (24, 25, 64, 65, 256, 257, 1500)]
+    for data in texts:
+        ends = chunks_byte_by_byte(data)
+        assert fingerprint.chunk_ends(data) == ends
+        sizes, start = {}, 0
+        for end in ends:
+            sizes[hashlib.blake2b(data[start:end], digest_size=8).hexdigest()] = end - start
+            start = end
+        assert fingerprint.written(fingerprint.chunks_of(data)) == "".join(f"{d}{n:03x}" for d, n in sorted(sizes.items()))
+
+
 def test_language(spark):
     rng = random.Random(6)
     parts = {"en": ["the", "ing", "tion"], "de": ["sch", "und", "keit"], "fr": ["eau", "oui", "ent"], "es": ["que", "ado", "cion"]}
