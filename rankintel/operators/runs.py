@@ -112,8 +112,9 @@ def position_shifts(
 
 
 def _priced_days(snapshots: DataFrame, current: date, previous: date, key: str, *more: str) -> DataFrame:
-    """_key, price, _is_now of the two days' snapshots with a positive price."""
-    both = with_run_date(snapshots).where(F.col("run_date").isin(current, previous) & (F.col("price_usd") > 0))
+    """_key, price, _is_now of the two days' snapshots with a positive price; NaN and infinity are none."""
+    price = F.col("price_usd")
+    both = with_run_date(snapshots).where(F.col("run_date").isin(current, previous) & (price > 0) & (price < float("inf")))
     return both.select(
         F.col(key).alias("_key"), F.col("price_usd").alias("price"), (F.col("run_date") == F.lit(current)).alias("_is_now"), *more
     )

@@ -190,6 +190,17 @@ def test_price_ranges_without_rows(spark):
     assert runs.price_move_ranges(products, priced(spark, []), DAY2, DAY1).collect() == []
 
 
+def test_prices_that_are_no_numbers_take_no_part(spark):
+    odd = [float("nan"), float("inf"), -1.0, 0.0, None]
+    data = [("u", f"{day} 0{i}:00:00", p) for day in (DAY1, DAY2) for i, p in enumerate(odd)]
+    data += [("u", f"{DAY1} 09:00:00", 10.0), ("u", f"{DAY2} 09:00:00", 5.0)]
+    products, snaps = spark.createDataFrame([("u",)], "url string"), priced(spark, data)
+    (row,) = runs.price_move_ranges(products, snaps, DAY2, DAY1).collect()
+    assert (row.n_pairs, row.old_price, row.new_price, row.pct, row.smallest_pct) == (1, 10.0, 5.0, -50.0, -50.0)
+    (last,) = runs.price_moves(products, snaps, DAY2, DAY1).collect()
+    assert (last.old_price, last.new_price) == (10.0, 5.0)
+
+
 def test_one_run_has_no_pair(spark):
     assert runs.latest_pair(heads(spark, [("a", DAY1, 1, 1)])) == (DAY1, None)
     assert runs.latest_pair(heads(spark, [])) == (None, None)
