@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankintel.functions.text import or_else
-from rankintel.operators.lookup import attach, top_per_group
+from rankintel.operators.lookup import attach, is_single, of_query, top_per_group
+from rankintel.operators.similar import with_missing
 from rankintel.operators.upsert import last_per_key
 
 # Default limits and how far down competitor domains are listed.
@@ -30,9 +31,7 @@ def delta_changes(
 
 def _newest_snapshots(snapshots: DataFrame, query, limit: int | None, query_col: str) -> DataFrame:
     named = snapshots.withColumn("query", F.col(query_col)) if query_col != "query" else snapshots
-    if query is not None:
-        named = named.where(F.col("query") == F.lit(query))
-    return top_per_group(named, ["query"], [F.desc("scraped_at"), F.desc("snapshot_id")], limit)
+    return top_per_group(of_query(named, query), ["query"], [F.desc("scraped_at"), F.desc("snapshot_id")], limit)
 
 
 def serp_history(
@@ -46,7 +45,8 @@ def serp_history(
     """Newest snapshots with our position, totals and the foreign domains among the first positions.
 
     top_domains holds at most `top` entries, positions being unique within a snapshot. Snapshots without
-    any stay, with an empty list. Newest first if one query is asked for.
+    any stay, with an empty list. Newest first if one query is asked for. `query` may be a DataFrame of queries: then
+    those without any snapshot have a row each with `similar_queries`, which is null in all other rows.
     """
     newest = _newest_snapshots(snapshots, query, limit, query_col)
     near = results.where(~F.col("is_ours") & (F.col("position") <= top) & F.col("domain").isNotNull())
@@ -60,7 +60,9 @@ def serp_history(
         "query", "snapshot_id", "scraped_at", our_url, "our_position", "total_results",
         F.coalesce("top_domains", F.array().cast("array<struct<position:int,domain:string>>")).alias("top_domains"),
     )
-    return shown if query is None else shown.orderBy(F.desc("scraped_at"), F.desc("snapshot_id"))
+    if isinstance(query, DataFrame):
+        return with_missing(shown, query, snapshots, query_col)
+    return shown.orderBy(F.desc("scraped_at"), F.desc("snapshot_id")) if is_single(query) else shown
 
 
 def position_trend(snapshots: DataFrame, query=None, limit: int | None = SNAPSHOTS, query_col: str = "query") -> DataFrame:

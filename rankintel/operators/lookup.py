@@ -43,3 +43,15 @@ def only_keywords(df: DataFrame, keywords: Sequence | DataFrame | None, column:
     if isinstance(keywords, DataFrame):
         return df.join(keywords.select(F.col(keywords.columns[0]).alias(column)).distinct(), column, "left_semi")
     return df.where(F.col(column).isin(list(keywords)))
+
+
+def of_query(df: DataFrame, query) -> DataFrame:
+    """Rows of one query, of each query in the first column of a DataFrame, or (None) all rows."""
+    if query is None or isinstance(query, DataFrame):
+        return only_keywords(df, query)
+    return df.where(F.col("query") == F.lit(query))
+
+
+def is_single(query) -> bool:
+    """Whether one query is asked for, so that its rows come in order and are bounded by the limit."""
+    return query is not None and not isinstance(query, DataFrame)

@@ -8,39 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankintel.functions.text import cut, or_else
-from rankintel.operators.lookup import attach, top_per_group
+from rankintel.operators.lookup import attach, is_single, of_query, top_per_group
+from rankintel.operators.similar import similar_queries, with_missing
+
+__all__ = [
+    "list_marketplace_results", "list_serp_results", "marketplace_intel", "marketplace_metal_summary", "product_classification",
+    "similar_queries",
+]
 
 # Widths, list lengths and the two spellings of the missing label.
 SNIPPET_CHARS = 200
-SIMILAR_QUERIES = 5
 UNCLASSIFIED_APPEARANCES = 5
 SHOWN_TAGS = 10
 NOT_CLASSIFIED, NOT_CLASSIFIED_KEY = "not classified", "not_classified"
 
 
 def _page_of(results: DataFrame, query, limit: int | None, offset: int = 0) -> DataFrame:
-    """One page of a query's results, or of every query's."""
-    if query is None:
-        return top_per_group(results, ["query"], [F.asc("position"), F.asc("url")], limit, offset)
-    chosen = results.where(F.col("query") == F.lit(query)).orderBy("position", "url")
+    """One page of a query's results, or of every (asked) query's."""
+    chosen = of_query(results, query)
+    if not is_single(query):
+        return top_per_group(chosen, ["query"], [F.asc("position"), F.asc("url")], limit, offset)
+    chosen = chosen.orderBy("position", "url")
     # The limit comes first: adaptive execution may drop a later sort over a limit of an offset.
     return (chosen if limit is None else chosen.limit(offset + limit)).offset(offset)
 
 
 def _totals(results: DataFrame, query) -> DataFrame:
     """query, total; counted apart from the page so that no query is gathered in one task."""
-    chosen = results if query is None else results.where(F.col("query") == F.lit(query))
-    return chosen.groupBy("query").agg(F.count(F.lit(1)).alias("total"))
+    return of_query(results, query).groupBy("query").agg(F.count(F.lit(1)).alias("total"))
 
 
 def _bound(query, limit: int | None) -> int | None:
-    return None if query is None else limit
+    return limit if is_single(query) else None
+
+
+def _answered(shown: DataFrame, query, stored: DataFrame, *order: str) -> DataFrame:
+    """In order for one query; for a table of queries with a row of similar ones for each that found nothing."""
+    if isinstance(query, DataFrame):
+        return with_missing(shown, query, stored)
+    return shown.orderBy(*order) if is_single(query) else shown
 
 
 def list_serp_results(
     serp: DataFrame, classes: DataFrame, query=None, limit: int | None = 20, offset: int = 0, snippet_chars: int | None = SNIPPET_CHARS
 ) -> DataFrame:
-    """A page of results with labels, the query's total and whether more follow; a snippet width of None keeps it whole."""
+    """A page of results with labels, the query's total and whether more follow; a snippet width of None keeps it whole.
+
+    `query` is one query, None for all, or a DataFrame of queries: then those without any results have a row each with
+    `similar_queries`, which is null in all other rows.
+    """
     page = _page_of(serp, query, limit, offset)
     labels = classes.select("url", "metal_type", "karat", _optional(classes, "confidence"))
     joined = attach(page, [labels], bound=_bound(query, limit)).join(_totals(serp, query), "query")
@@ -58,29 +74,13 @@ def list_serp_results(
         "total",
         F.coalesce(F.col("total") > last, F.lit(False)).alias("has_more"),
     )
-    return shown if query is None else shown.orderBy("position")
+    return _answered(shown, query, serp, "position")
 
 
 def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
 
 
-def similar_queries(stored: DataFrame, query: str, limit: int = SIMILAR_QUERIES, column: str = "query") -> DataFrame:
-    """Up to five stored queries that contain the first word of `query`, ignoring case; % and _ are wildcards.
-
-    A blank query is similar to none.
-    """
-    words = query.split()
-    found = F.col("query").ilike(f"%{words[0]}%") if words else F.lit(False)
-    return (
-        stored.select(F.col(column).alias("query"))
-        .where(found)
-        .distinct()
-        .orderBy("query")
-        .limit(limit)
-    )
-
-
 def product_classification(serp: DataFrame, pages: DataFrame, classes: DataFrame, url: str | None = None) -> DataFrame:
     """url, status, labels and one row per appearance (query, position, title) in the results.
 
@@ -117,7 +117,10 @@ def product_classification(serp: DataFrame, pages: DataFrame, classes: DataFrame
 
 
 def list_marketplace_results(serp: DataFrame, listings: DataFrame, query=None, limit: int | None = 20) -> DataFrame:
-    """Ranked marketplace results with the labels of their listings and the query's total."""
+    """Ranked marketplace results with the labels of their listings and the query's total.
+
+    `query` as in `list_serp_results`.
+    """
     page = _page_of(serp, query, limit)
     labels = listings.select("url", "metal_type", "karat", "confidence")
     joined = attach(page, [labels], bound=_bound(query, limit)).join(_totals(serp, query), "query")
@@ -136,7 +139,7 @@ def list_marketplace_results(serp: DataFrame, listings: DataFrame, query=None, l
         F.coalesce("confidence", F.lit("")).alias("confidence"),
         "total",
     )
-    return shown if query is None else shown.orderBy("position")
+    return _answered(shown, query, serp, "position")
 
 
 def marketplace_intel(serp: DataFrame, listings: DataFrame, query=None, limit: int | None = 20) -> DataFrame:
@@ -170,7 +173,7 @@ def marketplace_intel(serp: DataFrame, listings: DataFrame, query=None, limit: i
         F.coalesce("materials", none).alias("materials"),
         F.coalesce("tags", none).alias("tags"),
     )
-    return shown if query is None else shown.orderBy("position", "url")
+    return shown.orderBy("position", "url") if is_single(query) else shown
 
 
 def marketplace_metal_summary(intel: DataFrame) -> DataFrame:

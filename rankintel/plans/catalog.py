@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,12 @@ from rankintel.operators.digest import digest_rows
 from rankintel.operators.marketplace import fix_zero_positions, marketplace_results
 from rankintel.operators.page_text import html_to_text, jsonld_leaves, page_guard
 from rankintel.operators.ranked_links import ranked_links
+from rankintel.operators.similar import similar_to_each
 from rankintel.plans.batch import Corpora, RunOptions, RunResult, run_batch
 from rankintel.plans.bindings import LINK_SITE, Bound, bound
-from rankintel.sources.keywords import distinct_queries
+from rankintel.sources.keywords import distinct_queries, read_keywords
 from rankintel.sources.pages import stored_pages
+from rankintel.sources.tables import append_history, load_tables, write_keyed, write_staged
 
 # Parameters shared with the comparison SQL.
 CUT = "1998-01-01"
@@ -449,6 +452,42 @@ def list_serp_results_all(b: Bound) -> DataFrame:
     return results.list_serp_results(b.serp, b.classes, limit=None)
 
 
+def _asked(b: Bound) -> DataFrame:
+    """Each customer's key, as results store it, and the key with more words, which no result has as its query."""
+    key = F.col("c_custkey").cast("string")
+    return b.table("customer").select(F.explode(F.array(key, F.concat(key, F.lit(" "), F.col("c_mktsegment")))).alias("asked"))
+
+
+def _text_query(df: DataFrame) -> DataFrame:
+    return df.withColumn("query", F.col("query").cast("string"))
+
+
+def _flat_similar(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("similar_queries", F.array_join("similar_queries", "|"))
+
+
+@query
+def list_serp_results_asked(b: Bound) -> DataFrame:
+    return _flat_similar(results.list_serp_results(_text_query(b.serp), b.classes, _asked(b), limit=3, offset=2))
+
+
+@query
+def list_marketplace_results_asked(b: Bound) -> DataFrame:
+    return _flat_similar(results.list_marketplace_results(_text_query(b.shop_serp), b.listings, _asked(b), limit=5))
+
+
+@query
+def serp_history_asked(b: Bound) -> DataFrame:
+    return _flat_similar(_flat_history(history.serp_history(_text_query(b.snaps), b.snap_res, _asked(b))))
+
+
+@query
+def similar_queries_each(b: Bound) -> DataFrame:
+    stored = _our_products(b).select(F.explode("queries").alias("query"))
+    words = b.table("customer").select(F.lower("c_mktsegment").alias("asked")).union(b.table("part").select("p_name"))
+    return similar_to_each(_asked(b).union(words), stored)
+
+
 @query
 def similar_queries(b: Bound) -> DataFrame:
     return results.similar_queries(b.table("part"), "Small ring", column="p_name")
@@ -557,6 +596,67 @@ def run_summary(b: Bound) -> DataFrame:
     return stats.run_summary(b.serp, b.snaps, b.competitors, b.pages, b.prod_snaps, b.classes)
 
 
+# Files and tables that Spark writes and the sources read back.
+
+
+def _keyword_files(b: Bound) -> str:
+    """The customers as keyword files of at most 1,000 products each; some leave out the title or the views."""
+    path = f"{work_folder(b.spark)}/keywords"
+    key = F.col("handle")
+    items = _our_products(b).select(
+        F.floor(key / 1000).alias("file"),
+        F.struct(
+            key.cast("string").alias("product_handle"), F.when(key % 2 == 0, F.col("our_url")).alias("product_title"), "our_url",
+            F.when(key % 3 == 0, key.cast("int")).alias("views_90d"), "queries",
+        ).alias("item"),
+    )
+    items.groupBy("file").agg(F.to_json(F.collect_list("item")).alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+@query
+def read_keywords_(b: Bound) -> DataFrame:
+    products, _ = read_keywords(b.spark, _keyword_files(b))
+    return products.withColumn("queries", F.array_join("queries", "|")).drop("ordinal")
+
+
+@query
+def append_history_(b: Bound) -> DataFrame:
+    """Runs in turn: one repeated with other rows, one with rows, one repeated without any."""
+    root, log = work_folder(b.spark), _change_log(b)
+    log = log.withColumns({"url": F.col("url").cast("string"), "detected_at": F.col("detected_at").cast("timestamp")})
+    log = write_staged(log, root, "log")
+    cut = F.lit(EVENT_CUT).cast("timestamp")
+    early, late = log.where(F.col("detected_at") < cut), log.where(F.col("detected_at") >= cut)
+    grown = log
+    for day, rows in ((1, late), (1, early), (2, late), (3, early), (3, early.where(F.lit(False)))):
+        grown = append_history(rows, root, "deltas", "detected_at", datetime(2024, 2, day))
+    return grown.drop("run_date").withColumn("detected_at", F.col("detected_at").cast("timestamp_ntz"))
+
+
+@query
+def load_tables_(b: Bound) -> DataFrame:
+    """Every row of four tables as they are read back, and of the others, which are not there."""
+    root, none = work_folder(b.spark), F.lit(None)
+    write_keyed(b.serp.withColumn("snippet", none), root, "serp_results")
+    write_keyed(b.classes, root, "classifications")
+    stamped = _our_products(b).withColumns({"title": none, "views_90d": none, "created_at": none})
+    write_keyed(stamped, root, "our_products")
+    append_history(_change_log(b), root, "deltas", "detected_at", datetime(2024, 2, 1))
+    shown = {
+        "serp_results": (("query", "position"), "url"), "classifications": (("url",), "metal_type"),
+        "our_products": (("handle",), "our_url"), "deltas": (("url", "field"), "new_value"),
+    }
+    found = [
+        table.select(
+            F.lit(name).alias("name"), F.concat_ws("|", *shown.get(name, ((table.columns[0],), ""))[0]).alias("key"),
+            F.col(shown[name][1] if name in shown else table.columns[-1]).cast("string").alias("value"),
+        )
+        for name, table in load_tables(b.spark, root).items()
+    ]
+    return reduce(DataFrame.union, found)
+
+
 # The whole run.
 
 

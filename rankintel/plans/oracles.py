@@ -611,6 +611,44 @@ SQL: dict[str, str] = {
               QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY MIN(i)) <= 10)""",
 }
 
+_ASKED = """SELECT CAST(c_custkey AS VARCHAR) AS query FROM customer UNION SELECT c_custkey || ' ' || c_mktsegment FROM customer"""
+
+
+def _first_five(asked: str, stored: str) -> str:
+    """query, rank, similar."""
+    return f"""
+        SELECT query, CAST(rank AS INTEGER) AS rank, "similar" FROM (
+          SELECT a.query, t.query AS "similar", row_number() OVER (PARTITION BY a.query ORDER BY t.query) AS rank
+          FROM ({asked}) a JOIN (SELECT DISTINCT CAST(query AS VARCHAR) AS query FROM {stored}) t
+            ON t.query ILIKE '%' || split_part(a.query, ' ', 1) || '%') WHERE rank <= 5"""
+
+
+def _asked_report(report: str, stored: str) -> str:
+    missing = f"SELECT query FROM ({_ASKED}) WHERE query NOT IN (SELECT CAST(query AS VARCHAR) FROM {stored})"
+    return f"""
+        SELECT CAST(query AS VARCHAR) AS query, * EXCLUDE (query), CAST(NULL AS VARCHAR) AS similar_queries FROM ({report})
+        UNION ALL BY NAME
+        SELECT query, COALESCE(string_agg("similar", '|' ORDER BY rank), '') AS similar_queries
+        FROM ({missing}) LEFT JOIN ({_first_five(missing, stored)}) USING (query) GROUP BY query"""
+
+
+SQL |= {
+    "list_serp_results_asked": _asked_report(SQL["list_serp_results"], "serp"),
+    "list_marketplace_results_asked": _asked_report(SQL["list_marketplace_results"], "shop_serp"),
+    "serp_history_asked": _asked_report(SQL["serp_history"], "snaps"),
+    "similar_queries_each": _first_five(f"{_ASKED} UNION SELECT lower(c_mktsegment) FROM customer UNION SELECT p_name FROM part", "listed"),
+    "read_keywords": """
+        SELECT CAST(handle AS VARCHAR) AS handle, CASE WHEN handle % 2 = 0 THEN our_url ELSE CAST(handle AS VARCHAR) END AS title, our_url,
+               CAST(CASE WHEN handle % 3 = 0 THEN handle ELSE 0 END AS INTEGER) AS views_90d, array_to_string(queries, '|') AS queries
+        FROM our_products""",
+    "append_history": "SELECT CAST(url AS VARCHAR) AS url, field, old_value, new_value, detected_at FROM change_log",
+    "load_tables": """
+        SELECT 'serp_results' AS name, query || '|' || position AS key, CAST(url AS VARCHAR) AS value FROM serp
+        UNION ALL SELECT 'classifications', CAST(url AS VARCHAR), metal_type FROM classes
+        UNION ALL SELECT 'our_products', CAST(handle AS VARCHAR), our_url FROM our_products
+        UNION ALL SELECT 'deltas', url || '|' || field, new_value FROM change_log""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: _with(sql) for name, sql in SQL.items()}

@@ -73,21 +73,20 @@ def write_staged(df: DataFrame, root: str, name: str) -> DataFrame:
 
 
 def append_history(df: DataFrame, root: str, name: str, stamp: str = "scraped_at", run_at: datetime | None = None) -> DataFrame:
-    """Append rows to a growing table, partitioned by run date and run; returns the whole table.
+    """Append rows to a growing table, by run date and run, and publish them; returns what counts of the whole table.
 
-    With `run_at` the rows are the run's partition, and a repeated run replaces it: what a run that broke off has left
-    there, or what it made of other input, does not stay. Partitions of other runs are never touched. A repeat without
-    any row replaces nothing. `df` must not depend on the run's own earlier rows; see `before_run`.
+    With `run_at` the rows are the run's, and a repeated run replaces them whole, also where it has no rows. Without,
+    each call is a run of its own. The rows count once all are written (see `versions`): a call that breaks off changes
+    nothing that readers see. `df` may read the table's earlier rows; a run that is to see what it saw at first leaves
+    out its own (`before_run`).
     """
-    spark, folder = df.sparkSession, folder_of(root, name)
-    dated = df if "run_date" in df.columns else df.withColumn("run_date", F.to_date(stamp))
-    run = "appended" if run_at is None else run_at.strftime("%Y%m%dT%H%M%S.%f")
-    writer = _shaped(dated, name).withColumn(RUN, F.lit(run)).write.partitionBy("run_date", RUN)
-    if run_at is None:
-        writer.mode("append").parquet(folder)
-    else:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
-    return read_table(spark, folder, name)
+    from rankintel.sources.versions import append_attempt, attempts, new_attempt, publish, read_grown
+
+    spark, run_at = df.sparkSession, run_at or datetime.now()
+    attempt = new_attempt(run_at)
+    append_attempt(df, root, name, attempt, stamp)
+    publish(spark, root, run_at, attempt, {}, {name: read_grown(spark, root, name, {"": attempt}).count()})
+    return read_grown(spark, root, name, attempts(spark, root)[name])
 
 
 def before_run(history: DataFrame, run_at: datetime, stamp: str = "scraped_at") -> DataFrame:

@@ -257,3 +257,19 @@ def test_a_repeat_without_rows_leaves_none(spark, small_batch, tmp_path):
     assert rows["serp_snapshot_results"] == 0
     assert published_folders(spark, appended, datetime(2024, 1, 1)) == {}
     assert load_tables(spark, appended)["serp_snapshot_results"].count() == 0
+
+
+def test_a_repeated_append_without_rows_takes_the_earlier_ones_away(spark, tmp_path):
+    at, other = datetime(2024, 1, 7, 10), datetime(2024, 1, 7, 11)
+    shape = "url string, field string, old_value string, new_value string, detected_at timestamp"
+
+    def append(run, *values):
+        rows = spark.createDataFrame([("u", "f", None, v, at) for v in values], shape)
+        return sorted(r.new_value for r in append_history(rows, str(tmp_path), "deltas", "detected_at", run).collect())
+
+    assert append(at) == []
+    assert append(at, "a", "b") == ["a", "b"]
+    assert append(other, "x") == ["a", "b", "x"]
+    assert append(at) == ["x"]
+    assert append(None, "y") == ["x", "y"] and append(None, "y") == ["x", "y", "y"]
+    assert sorted(r.new_value for r in load_tables(spark, str(tmp_path))["deltas"].collect()) == ["x", "y", "y"]
