@@ -69,6 +69,23 @@ def test_one_gram_in_a_third_of_all_queries(spark):
     assert found.where("query = 'gold more 4'").count() == 5
 
 
+def test_only_bounded_sides_are_broadcast(spark):
+    # Words, queries and texts grow with the tables; by their estimated sizes Spark would send them all to the driver.
+    asked, stored = spark.range(3_000).selectExpr("concat(id, ' RING') AS query"), spark.range(3_000).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS query")
+    found = missing_queries(asked, stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("_start" in line and "LeftSemi" in line for line in joins)
+    near = {r.query: list(r.similar_queries) for r in found.where("query IN ('7 RING', '2999 RING')").collect()}
+    assert near == {"7 RING": [f"Customer#{n:09d}" for n in (7, 17, 27, 37, 47)], "2999 RING": ["Customer#000002999"]}
+
+
+def test_words_longer_than_a_gram(spark):
+    stored = ["a long necklace", "aaaaaaaaaaaaaaaa", "necklaces", "NECKLACE", "neck lace", "x necklaces", "old necklaces", "aaaaaaaaa"]
+    asked = ["necklace x", "necklaces x", "aaaaaaaa", "aaaaaaaaaa b", "neckla%s", "n_cklaces", "a", "aa", "necklacesss"]
+    assert got(spark, asked, stored) == expected(asked, stored)
+
+
 def test_missing_queries(spark):
     rows = missing_queries(frame(spark, ["gold ring", "gold band", "none", " ", None]), frame(spark, STORED)).collect()
     assert {r.query: r.similar_queries for r in rows} == {
