@@ -144,8 +144,8 @@ def price_moves(
 ) -> DataFrame:
     """Products whose last positive price of the day moved by more than `pct`: url, old_price, new_price, pct, n_pairs.
 
-    One row per product (n_pairs is 1); both days fold into one aggregate. `price_move_ranges` looks at every price
-    of the two days.
+    One row per product (n_pairs is 1); both days fold into one aggregate. `price_move_pairs` gives every pair of prices
+    of the two days, `price_move_ranges` folds them.
     """
     days = _priced_days(snapshots, current, previous, key, *[c for c in order if c != key])
     last = F.struct(*[F.col("_key") if c == key else F.col(c) for c in order])
@@ -168,6 +168,26 @@ def _price_levels(snapshots: DataFrame, current: date, previous: date, key: str)
     )
 
 
+def price_move_pairs(
+    products: DataFrame, snapshots: DataFrame, current: date, previous: date, pct: float = PRICE_CHANGE, key: str = "url"
+) -> DataFrame:
+    """Every price of one day against every price of the other, where they differ by more than `pct`.
+
+    url, old_price, new_price, pct and n_pairs, a row for each pair of prices of a product; n_pairs tells how many pairs
+    of snapshots it stands for, since equal prices are counted before the join. The output, and so the work, grows with
+    the square of a product's prices on a day.
+    """
+    levels = _price_levels(snapshots, current, previous, key)
+    now = levels.where("now > 0").select("_key", F.col("price").alias("new_price"), "now")
+    then = levels.where("then > 0").select("_key", F.col("price").alias("old_price"), "then")
+    old, new = F.col("old_price"), F.col("new_price")
+    moved = now.join(then, "_key").where(_moved(old, new, pct))
+    # Hashed by price too, so that the pairs of a product with very many prices are not held to one task.
+    return moved.repartition("_key", "new_price").join(_urls(products, key), "_key").select(
+        "url", "old_price", "new_price", _change(old, new).alias("pct"), (F.col("now") * F.col("then")).alias("n_pairs")
+    )
+
+
 def price_move_ranges(
     products: DataFrame, snapshots: DataFrame, current: date, previous: date, pct: float = PRICE_CHANGE, key: str = "url"
 ) -> DataFrame:

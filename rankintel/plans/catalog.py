@@ -336,6 +336,11 @@ def _price_days(b: Bound) -> tuple:
 
 @query
 def price_moves(b: Bound) -> DataFrame:
+    return runs.price_move_pairs(*_price_days(b), key="product_id")
+
+
+@query
+def price_move_ranges(b: Bound) -> DataFrame:
     return runs.price_move_ranges(*_price_days(b), key="product_id")
 
 

@@ -438,7 +438,8 @@ SQL: dict[str, str] = {
     "dropouts": "SELECT query, domain FROM all_changes, newest_two WHERE run_date = cur AND change = 'dropout'",
     "our_positions": "SELECT query, CAST(run_date AS VARCHAR) AS run_date, our_position FROM positions",
     "position_shifts": "SELECT query, prev_pos, curr_pos, direction FROM all_shifts, newest_two WHERE run_date = cur",
-    "price_moves": """
+    "price_moves": "SELECT url, old_price, new_price, pct, n_pairs FROM moves",
+    "price_move_ranges": """
         SELECT url, CAST(SUM(n_pairs) AS BIGINT) AS n_pairs, arg_max(old_price, (abs(pct), pct)) AS old_price,
                arg_max(new_price, (abs(pct), pct)) AS new_price, arg_max(pct, (abs(pct), pct)) AS pct,
                arg_max(pct, (-abs(pct), pct)) AS smallest_pct

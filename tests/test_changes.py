@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -9,6 +10,7 @@ from rankintel.functions.text import float_text
 from rankintel.operators import deltas, runs
 from rankintel.operators.digest import digest_rows
 from rankintel.operators.previous import with_previous
+from rankintel.plans.catalog import queries
 
 DAY1, DAY2 = date(2024, 1, 1), date(2024, 1, 8)
 
@@ -173,6 +175,25 @@ def test_price_ranges_against_loops(spark, pct):
     assert [(size, url) for size, url, *_ in rows[:10]] == [(size, url) for size, url, *_ in seen[:10]]
 
 
+def test_price_pairs_are_all_rows(spark):
+    draw = random.Random(11)
+    data = [(f"u{draw.randrange(4)}", f"{draw.choice([DAY1, DAY2])} 01:00:00", draw.choice([20.0, 23.0, 23.5, 10.0, 0.0, None])) for _ in range(80)]
+    products = spark.createDataFrame([("u0",), ("u1",), ("u2",), ("other",)], "url string")
+    want = Counter((url, old, new) for url, found in all_pairs(data, 0.15).items() if url != "u3" for _, old, new in found)
+    got = runs.price_move_pairs(products, priced(spark, data), DAY2, DAY1).collect()
+    assert len(got) == len(want) and {(r.url, r.old_price, r.new_price): r.n_pairs for r in got} == dict(want)
+
+
+def test_price_moves_query_gives_every_pair(spark, tmp_path):
+    spark.range(6).selectExpr(
+        "id AS event_id", "1L AS user_id", f"cast(if(id % 2 = 0, '{DAY1}', '{DAY2}') AS timestamp_ntz) AS ts", "'view' AS event_type",
+        "double(10 + 5 * id) AS value", "'' AS props",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(1).selectExpr("1L AS l_partkey", "1L AS l_suppkey", f"cast('{DAY1}' AS timestamp_ntz) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = {(r.old_price, r.new_price) for r in queries()["price_moves"](spark, str(tmp_path)).collect()}
+    assert pairs == {(old, new) for old in (10.0, 20.0, 30.0) for new in (15.0, 25.0, 35.0) if abs(new - old) / old > 0.15}
+
+
 def test_many_price_levels_give_one_row(spark):
     at = {0: DAY1, 1: DAY2}
     snaps = spark.range(4000).selectExpr(
