@@ -1,9 +1,11 @@
 import json
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rankintel.functions.jsonld import PORTION_CHARS, _portions
 from rankintel.operators.classify import classify_products, parse_model_json
 from rankintel.operators.listing import classification_text, listing_metadata, listing_row
 from rankintel.operators.marketplace import fix_zero_positions, marketplace_results
@@ -155,6 +157,22 @@ def test_jsonld_leaves(spark):
     ]
 
 
+def test_leaves_are_read_in_bounded_batches_and_portions(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "10000")
+        pages = spark.range(3000, numPartitions=1).selectExpr("id", """concat('<script type="application/ld+json">{"k": ', id, ', "l": ["', repeat('x', 150), '", null]}</script>') AS html""")
+        leaves = jsonld_leaves(pages)
+        assert int(spark.conf.get(setting)) <= 500
+        assert leaves.where("key = 'k' AND seq = 0 AND value = id").count() == 3000 and leaves.count() == 9000
+    finally:
+        spark.conf.set(setting, before)
+    texts = [["a" * 400_000, "b"], ["c" * 700_000], None, [], ["d" * (PORTION_CHARS + 1)], ["e"]]
+    portions = list(_portions(pa.array(texts, pa.list_(pa.string()))))
+    assert portions == [texts[:1], texts[1:4], texts[4:5], texts[5:]]
+
+
 def listing_of(spark, html):
     return listing_metadata(spark.createDataFrame([("https://www.etsy.com/listing/5/x", html)], "url string, html string"))
 
