@@ -24,6 +24,8 @@ SAMPLE = 500
 #: How many times that number are taken, so that chance leaves enough.
 SPARE = 1.5
 FIT_ROUNDS = 120
+#: Rows that a fit has in double precision at a time.
+BLOCK_ROWS = 64
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[65:91] = np.arange(97, 123)
@@ -39,16 +41,42 @@ def _triples(text: str) -> np.ndarray:
     return (mixed >> np.uint32(20)).astype(np.intp) % FEATURES
 
 
-def _machine(x: np.ndarray, side: np.ndarray, rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (squared hinge loss) on shares of features; `side` is -1 or 1."""
-    mean, spread = x.mean(0), x.std(0) + 1e-4
-    z = ((x - mean) / spread).astype(np.float32)
+def _packed(text: str) -> bytes:
+    """The shares of a text's features that are not 0 (32 bits each), then the numbers of these features (16 bits)."""
+    found = np.bincount(_triples(text), minlength=FEATURES)
+    at = np.flatnonzero(found)
+    return (found[at] / found.sum()).astype(np.float32).tobytes() + at.astype(np.uint16).tobytes()
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    """A row of shares for each text."""
+    shares = np.zeros((len(packed), FEATURES), np.float32)
+    for row, own in zip(shares, packed):
+        n = len(own) // 6
+        row[np.frombuffer(own, np.uint16, n, 4 * n)] = np.frombuffer(own, np.float32, n)
+    return shares
+
+
+def _machine(z: np.ndarray, side: np.ndarray, rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (squared hinge loss) on shares of features, which it overwrites; `side` is -1 or 1.
+
+    Rows are taken in small blocks: the driver holds no other copy of them, and none in double precision.
+    """
+    mean = z.mean(0)
+    z -= mean
+    spread = np.concatenate([np.sqrt(np.square(z[:, at : at + 256]).sum(0) / np.float32(len(z))) for at in range(0, z.shape[1], 256)]) + np.float32(1e-4)
+    z /= spread
     weight = np.where(side > 0, 0.5 / (side > 0).sum(), 0.5 / (side < 0).sum())
     w, b, rate = np.zeros(z.shape[1]), 0.0, 0.5 / np.sqrt(z.shape[1])
     for _ in range(rounds):
-        slack = np.maximum(0.0, 1.0 - side * (z @ w + b)) * weight * side
-        w += rate * (z.T @ slack - 1e-3 * w)
-        b += rate * slack.sum()
+        up, up_b = np.zeros_like(w), 0.0
+        for at in range(0, len(z), BLOCK_ROWS):
+            rows, own = z[at : at + BLOCK_ROWS].astype(np.float64), side[at : at + BLOCK_ROWS]
+            slack = np.maximum(0.0, 1.0 - own * (rows @ w + b)) * weight[at : at + BLOCK_ROWS] * own
+            up += slack @ rows
+            up_b += slack.sum()
+        w += rate * (up - 1e-3 * w)
+        b += rate * up_b
     return w / spread, b - float((w * mean / spread).sum())
 
 
@@ -120,16 +148,13 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shares = []
-            for value in batch.column(1):
-                found = np.bincount(_triples(value.as_py()), minlength=FEATURES)
-                shares.append((found / found.sum()).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.binary()), batch.column(2)], names=["lang", "shares", "at"])
+            packed = [_packed(value.as_py()) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["lang", "packed", "at"])
 
-    taken = rows.where(wanted).select("lang", "text", "at").mapInArrow(features, "lang string, shares binary, at double").toPandas()
+    taken = rows.where(wanted).select("lang", "text", "at").mapInArrow(features, "lang string, packed binary, at double").toPandas()
     # Of repeated rows, whose hashes are equal, the first are as good as any.
-    taken = taken.sort_values(["lang", "at", "shares"]).groupby("lang").head(sample)
-    shares = np.frombuffer(b"".join(taken["shares"]), np.float32).reshape(len(taken), FEATURES)
+    taken = taken.sort_values(["lang", "at", "packed"]).groupby("lang").head(sample)
+    shares = _unpacked(taken.pop("packed").tolist())
     return Model(shares, taken["lang"].to_numpy())
 
 

@@ -1,10 +1,13 @@
-"""Pipeline stages on tables whose extra columns clash, the encoder's bound, and turns without a number."""
+"""Pipeline stages on tables whose extra columns clash, the bounds of the encoder and of a fit, and turns without a number."""
 
+import tracemalloc
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankintel.llm import chat, packing
+from rankintel.llm import chat, language, packing
 
 CLASHES = ("good", "score", "lang_pred", "__text", "id", "row", "at", "rank", "hashes", "packed", "rest", "n")
 
@@ -36,6 +39,29 @@ def test_an_encoder_holds_no_more_than_its_bound(monkeypatch):
     assert got == [large.encode(text) for text in texts]
 
 
+def test_a_fit_holds_no_copies_of_its_rows():
+    rng = np.random.default_rng(4)
+    rows = rng.random((400, language.FEATURES)).astype(np.float32)
+    side = np.where(np.arange(400) % 3 == 0, 1.0, -1.0)
+    rows[side > 0, 7] += 5
+    own = rows.copy()
+    tracemalloc.start()
+    weights, bias = language._machine(own, side, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < rows.nbytes
+    assert ((rows @ weights + bias > 0) == (side > 0)).all()
+
+
+def test_shares_of_a_text_are_sent_without_zeros():
+    texts = ["a", "The quick brown fox", "日本語 é", "x" * 3000]
+    packed = [language._packed(text) for text in texts]
+    for text, own, row in zip(texts, packed, language._unpacked(packed)):
+        found = np.bincount(language._triples(text), minlength=language.FEATURES)
+        assert (row == (found / found.sum()).astype(np.float32)).all()
+        assert len(own) <= 6 * len(set(language._triples(text).tolist()))
+
+
 def test_turns_without_a_number_come_first(spark):
     turns = spark.createDataFrame([("c", -100, "a", "minus"), ("c", None, "b", "null"), ("c", 0, "a", "zero"), ("c", 200, "b", "last")], "conv_id string, turn int, role string, text string")
     shown = chat.rotate(turns).where("perspective = 'a'").orderBy("start").collect()
