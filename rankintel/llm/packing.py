@@ -56,7 +56,8 @@ class WordEncoder:
     """Ids of a lower-casing word vocabulary of the tokenizers library, with the words met before remembered.
 
     White space never joins two units of text, so each unit is encoded once. Units of Latin-1 letters are normalised
-    here and their words given to the library's model; all others go through the whole library.
+    here and their words given to the library's model; all others go through the whole library. What a text holds of
+    either is asked once for the whole text, and a unit that is a word already is remembered once.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,45 +72,56 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, bytes] = {"": b""}
-        self._known_words: dict[str, bytes] = {}
-        self.held = 0  # bytes of both, about
+        self._known: dict[str, bytes] = {"": b""}  # of units and of words: a word is the only one of its unit
+        self.held = 0  # its bytes, about
+
+    def _keep(self, unit: str, ids: bytes) -> bytes:
+        self.held += ENTRY_BYTES + 2 * len(unit) + len(ids)
+        self._known[unit] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
-        ids = self._known_words.get(word)
+        ids = self._known.get(word)
         if ids is None:
             letters = word if word.isascii() and word.isprintable() else word.translate(self._letters)
-            ids = self._known_words[word] = array("I", [token.id for token in self._model(letters)]).tobytes()
-            self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
+            ids = self._keep(word, array("I", [token.id for token in self._model(letters)]).tobytes())
         return ids
 
-    def _unit(self, unit: str) -> bytes:
-        low = unit.lower()
-        if low.isalpha() and max(low) < "Ā":
-            return self._word(low)
-        if max(unit) < "Ā" and not any(s in unit for s in self._special):
-            if low[-1] in ".," and low[:-1].isalpha():
-                return self._word(low[:-1]) + self._word(low[-1])
-            return b"".join(map(self._word, self._words(low)))
-        return array("I", self._library.encode(unit, add_special_tokens=False).ids).tobytes()
+    def _plain(self, text: str) -> bool:
+        """Whether the text is of Latin-1 characters only, and holds no special token."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not any(s in text for s in self._special)
+
+    def _unit(self, unit: str, plain: bool) -> bytes:
+        ids = self._known.get(unit)
+        if ids is not None:  # met earlier in this text
+            return ids
+        if plain or self._plain(unit):
+            low = unit.lower()
+            if low.isalpha():
+                ids = self._word(low)
+            elif low[-1] in ".," and low[:-1].isalpha():
+                ids = self._word(low[:-1]) + self._word(low[-1])
+            else:
+                ids = b"".join(map(self._word, self._words(low)))
+        else:
+            ids = array("I", self._library.encode(unit, add_special_tokens=False).ids).tobytes()
+        return ids if unit in self._known else self._keep(unit, ids)
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers; null is the empty text."""
-        known = self._known
-        units = (text or "").replace("\n", " ").split(" ")
-        ids = [*map(known.get, units)]
+        text = text or ""
+        units = text.replace("\n", " ").split(" ")
+        ids = [*map(self._known.get, units)]
         if None in ids:
-            for i, own in enumerate(ids):
-                if own is None:
-                    unit = units[i]
-                    own = known.get(unit)
-                    if own is None:
-                        if self.held > CACHE_BYTES:
-                            self._forget()
-                            known = self._known
-                        own = known[unit] = self._unit(unit)
-                        self.held += ENTRY_BYTES + 2 * len(unit) + len(own)
-                    ids[i] = own
+            plain = self._plain(text)
+            for i in [i for i, own in enumerate(ids) if own is None]:
+                if self.held > CACHE_BYTES:
+                    self._forget()
+                ids[i] = self._unit(units[i], plain)
         return b"".join(ids)
 
 

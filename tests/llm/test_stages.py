@@ -39,6 +39,15 @@ def test_an_encoder_holds_no_more_than_its_bound(monkeypatch):
     assert got == [large.encode(text) for text in texts]
 
 
+def test_an_encoder_remembers_a_word_once():
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [f"{a}{b}{c}tion" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    ids = encoder.encode(" ".join(words))
+    assert len(words) * packing.ENTRY_BYTES < encoder.held < 1.5 * len(words) * packing.ENTRY_BYTES
+    held = encoder.held
+    assert encoder.encode("\n".join(words)) == ids and encoder.held == held
+
+
 def test_a_fit_holds_no_copies_of_its_rows():
     rng = np.random.default_rng(4)
     rows = rng.random((400, language.FEATURES)).astype(np.float32)
