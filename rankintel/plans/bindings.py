@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankintel.operators.upsert import last_per_key
+from rankintel.sources.tables import dropped_shuffles, write_staged
 
 # Which label a part type stands for; the remaining type reads as a blank label.
 METAL_OF_TYPE = {
@@ -101,16 +102,34 @@ class Bound:
         newest = last_per_key(self.titled(self.result_rows), ["query", "position"], self.arrival)
         return newest.select("query", "position", "url", "title", "scraped_at")
 
-    @cached_property
-    def shop_serp(self) -> DataFrame:
+    def newest_shop(self, rows: DataFrame) -> DataFrame:
         ties = [*self.arrival, "l_quantity", "l_returnflag", "l_linestatus"]
-        newest = last_per_key(self.titled(self.result_rows), ["query", "position"], ties)
-        return newest.select(
-            "query", "position", "url", "title", "scraped_at",
-            F.col("l_extendedprice").alias("price_usd"), F.col("l_returnflag").alias("shop"),
-            F.col("l_quantity").cast("int").alias("reviews"), (F.col("l_linestatus") == "F").alias("star_seller"),
+        newest = last_per_key(rows, ["query", "position"], ties)
+        return newest.withColumnsRenamed({"l_extendedprice": "price_usd", "l_returnflag": "shop"}).withColumns(
+            {"reviews": F.col("l_quantity").cast("int"), "star_seller": F.col("l_linestatus") == "F"}
         )
 
+    shop_columns = ["query", "position", "url", "title", "scraped_at", "price_usd", "shop", "reviews", "star_seller"]
+
+    @cached_property
+    def shop_serp(self) -> DataFrame:
+        return self.newest_shop(self.titled(self.result_rows)).select(*self.shop_columns)
+
+    def stored_shop_serp(self, root: str) -> DataFrame:
+        """The rows of `shop_serp` as a table below `root`, for a query that reads them several times.
+
+        Only the newest row of each place is joined with its title. Rows without a part go before, by the keys that no
+        part has: these are few as a rule and then sent to all, where a join with the parts would shuffle every row.
+        A part that is there twice gives one title.
+        """
+        parts = self.table("part").groupBy(F.col("p_partkey").alias("url")).agg(F.max("p_name").alias("title"))
+        with dropped_shuffles(self.spark):
+            titles = write_staged(parts, root, "shop_titles")
+            keys = self.table("lineitem").select(F.col("l_partkey").alias("url")).distinct()
+            unknown = write_staged(keys.join(titles, "url", "left_anti"), root, "shop_unknown")
+            newest = self.newest_shop(self.result_rows.where("url IS NOT NULL").join(unknown, "url", "left_anti"))
+            return write_staged(newest.join(titles, "url").select(*self.shop_columns), root, "shop_results")
+
     @cached_property
     def web(self) -> DataFrame:
         """Results with real url strings, one per order line."""

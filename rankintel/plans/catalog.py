@@ -478,7 +478,8 @@ def list_serp_results_asked(b: Bound) -> DataFrame:
 
 @query
 def list_marketplace_results_asked(b: Bound) -> DataFrame:
-    return _flat_similar(results.list_marketplace_results(_text_query(b.shop_serp), b.listings, _asked(b), limit=5))
+    shop = b.stored_shop_serp(work_folder(b.spark))
+    return _flat_similar(results.list_marketplace_results(_text_query(shop), b.listings, _asked(b), limit=5))
 
 
 @query
